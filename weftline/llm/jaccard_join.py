@@ -5,15 +5,18 @@
 2. A linked pair differs in at most a quarter of either set.  So of a set's
    sampled shingles (hash below ``SAMPLE`` of the range, the same for all sets) all but
    n/4 also occur in the partner: sets with fewer shared ones link with nothing.
-   And the n/4 + 1 smallest hashes of a set (its prefix) hold a shingle of the
-   partner's prefix.  Shingles travel as packed blobs in hash buckets; a
-   bucket's task tells which occur in two sets or more.
-3. First round: each remaining set goes to the group of its smallest shared
-   prefix shingle, where a signature tree is walked against itself.
-4. Second round: each prefix shingle whose sets are not yet all in one component
-   makes a group; trees are walked again, skipping sets of one component.
-   Then every pair in two components that shares a prefix shingle has been
-   weighed, so the components are exact.
+   Shingles travel as packed blobs in hash buckets; a bucket's task tells which
+   occur in two sets or more.  (A set too small for its sample to tell uses the
+   n/4 + 1 smallest hashes, of which the partner's hold one.)  Of what a set
+   shares, the most frequent shingles that no partner can do without are then
+   left out: the rest, its keys, still meets every partner.
+3. First round: each remaining set goes to the groups of its most frequent and
+   its smallest key, where a signature tree is walked against itself.
+4. Second round: each key whose sets are not yet all in one component makes a
+   group; trees are walked again, skipping sets of one component.  A set that
+   shares a key with a large component of the first round is weighed against
+   all of that component, once, rather than key by key.  Then every pair in two
+   components that shares a key has been weighed, so the components are exact.
 
 Large groups are split into blocks.  In the first round block meets block in a
 chain, since it only has to find most links; in the second each pair of blocks
@@ -38,13 +41,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from weftline.llm.common import arrow_map, column, fresh_path, mix64, table, window_hash
 from weftline.llm.common import written as write_table
 from weftline.llm.components import components
-from weftline.llm.signature_tree import tree_links
+from weftline.llm.signature_tree import bitmap, possible_groups, tree_links, width
 
 WORDS = 5
 SAMPLE = 0.4
 TOP = 1 << 63
 CUT = int(SAMPLE * TOP)
 BLOCK = 512
+#: From this many sets on, a component of the first round is compared as a whole, not key by key.
+LARGE = 16
 #: The semi-join that picks remaining texts broadcasts their ids only below this size.
 BROADCAST_BYTES = 8 << 20
 
@@ -228,7 +233,7 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def classes_and_candidates(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a row per text: key, n, fp), (a row per class: fp, n, rep), (remaining classes: fp, n, rep, hs: shared prefix hashes, rising)."""
+    """(a row per text: key, n, fp), (a row per class: fp, n, rep), (remaining classes: fp, n, rep, hs: keys, rarest first)."""
     spark = df.sparkSession
     size = min(input_bytes(df), 1 << 50)
     buckets = 1 << max(10, min(20, int(size >> 22).bit_length()))
@@ -243,74 +248,98 @@ def classes_and_candidates(df: DataFrame, key: str, text: str) -> tuple[DataFram
     dealt = stored.filter("kind = 'h'").select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket")
     shared = dealt.mapInArrow(_shared_in_buckets, "fp long, h long").unionByName(stored.filter("kind = 's'").select("fp", F.col("last").alias("h")))
     per = shared.groupBy("fp").agg(F.array_sort(F.collect_set("h")).alias("hs"))
-    j = per.join(reps, "fp")
-    # A set whose sample is shorter than its prefix is not judged by the sample.
-    enough = F.size(F.filter("hs", lambda h: h < F.lit(CUT))) >= F.col("sampled") - F.floor(F.col("n") / 4)
-    left = j.filter((F.col("sampled") < F.floor(F.col("n") / 4) + 1) | enough).select(
-        "fp", "n", "rep", F.filter("hs", lambda h: h <= F.col("last")).alias("hs")
-    ).filter(F.size("hs") > 0)
-    return texts.select(key, "n", "fp"), reps.select("fp", "n", "rep"), write_table(left, "remaining")
+    # Of a set's sampled shingles a partner shares `least`; a set whose sample is no longer than its prefix is not judged by it.
+    allowance = F.floor(F.col("n") / 4)
+    judged = F.col("sampled") > allowance
+    j = per.join(reps, "fp").select(
+        "fp", "n", "rep", F.when(judged, F.col("sampled") - allowance).otherwise(1).alias("least"), F.when(judged, F.filter("hs", lambda h: h < F.lit(CUT))).otherwise(F.col("hs")).alias("hs")
+    )
+    left = write_table(j.filter(F.size("hs") >= F.col("least")), "remaining")
+    # Once more among what remains; then of each set's shared shingles, rarest first, all but the last `least` - 1:
+    # two sets that share `least` of them still share one of those.
+    each = left.select("fp", "least", F.explode("hs").alias("h"))
+    spread = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = each.join(spread, "h").groupBy("fp").agg(F.first("least").alias("least"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    kept = ranked.filter(F.size("hs") >= F.col("least")).select(
+        "fp", F.transform(F.slice("hs", F.lit(1), F.size("hs") - F.col("least").cast("int") + 1), lambda x: x["h"]).alias("hs")
+    )
+    left = left.select("fp", "n", "rep").join(kept, "fp")
+    return texts.select(key, "n", "fp"), reps.select("fp", "n", "rep"), write_table(left, "candidates")
 
 
 # --- steps 3 and 4: groups and trees ----------------------------------------
 
 
 def remaining_sets(df: DataFrame, left: DataFrame, key: str, text: str) -> DataFrame:
-    """fp and packed shingles of the remaining classes; texts are picked by the ids that stand for them."""
+    """fp, packed shingles and bitmap of the remaining classes; texts are picked by the ids that stand for them."""
     ids = left.select(F.col("rep").alias(key), "fp")
     small = left.count() * 64 <= BROADCAST_BYTES
     picked = df.select(key, text).join(F.broadcast(ids) if small else ids, key)
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets([x or b"" for x in column(batch, text).cast(pa.binary()).to_pylist()])
-        return pa.RecordBatch.from_arrays([column(batch, "fp"), pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["fp", "check", "tokens"])
+        return pa.RecordBatch.from_arrays([column(batch, "fp"), pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())], names=["fp", "check", "tokens", "bits"])
 
-    out = arrow_map(picked, pack, "fp long, check long, tokens binary")
+    out = arrow_map(picked, pack, "fp long, check long, tokens binary, bits binary")
     # Rows repeated under one id may hold other texts; equal ones are wanted once.
     return write_table(out.filter("check = fp").drop("check").dropDuplicates(["fp"]), "sets")
 
 
-def _walk(batches):
-    """Rows (task, side, fp, label, tokens) come sorted by task and side; yields links between classes."""
-
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        sides: dict[int, list[tuple]] = {}
-        for r in rows:
-            sides.setdefault(r[0], []).append(r)
-        label: dict[int, int] = {}
-        trees = []
-        for s in sorted(sides):
-            own = {r[1]: r for r in sides[s]}.values()
-            trees.append(([np.frombuffer(r[3], "<u8") for r in own], np.array([label.setdefault(r[2], len(label)) for r in own], np.int64)))
-        names = [f for s in sorted(sides) for f in dict.fromkeys(r[1] for r in sides[s])]
-        if len(names) < 2 or len(label) < 2:
-            return []
-        return [(names[a], names[b]) for a, b in tree_links(trees[0], trees[1] if len(trees) > 1 else None)]
-
-    now, held, out = None, [], []
-
-    def flush():
-        out.extend(links(held))
-
+def _tasks(batches, names: tuple[str, ...]):
+    """Rows come sorted by task: (task, its rows)."""
+    now, held = None, []
     for batch in batches:
-        cols = [column(batch, c).to_pylist() for c in ("task", "side", "fp", "label", "tokens")]
-        for task, *row in zip(*cols, strict=True):
+        for task, *row in zip(*(column(batch, c).to_pylist() for c in ("task", *names)), strict=True):
             if task != now and held:
-                flush()
+                yield now, held
                 held = []
             now = task
             held.append(tuple(row))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
-            out.clear()
-    flush()
+    if held:
+        yield now, held
+
+
+def _walk(batches):
+    """Links between classes, by trees over whole sets."""
+    out = []
+    for _, rows in _tasks(batches, ("side", "fp", "label", "tokens")):
+        label: dict[int, int] = {}
+        trees, names = [], []
+        for side in (0, 1):
+            own = list({r[1]: r for r in rows if r[0] == side}.values())
+            if own:
+                trees.append(([np.frombuffer(r[3], "<u8") for r in own], np.array([label.setdefault(r[2], len(label)) for r in own], np.int64)))
+                names += [r[1] for r in own]
+        if len(names) > 1 and len(label) > 1:
+            out += [(names[a], names[b]) for a, b in tree_links(trees[0], trees[1] if len(trees) > 1 else None)]
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
+            out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
 
 
-def group_links(members: DataFrame, sets: DataFrame, every_pair: bool, parts: int) -> DataFrame:
-    """Links found in the groups of ``members`` (g, fp, label)."""
-    spark = members.sparkSession
+def _sift(batches):
+    """Of each task the sets that bitmaps cannot tell apart across labels, in groups named by what they hold."""
+    for _, rows in _tasks(batches, ("side", "fp", "label", "n", "bits")):
+        rows = list({(r[0], r[1]): r for r in rows}.values())
+        label: dict[int, int] = {}
+        labels = np.array([label.setdefault(r[2], len(label)) for r in rows], np.int64)
+        if len(label) < 2:
+            continue
+        side = np.array([r[0] for r in rows])
+        two = side.min() != side.max()
+        groups = possible_groups([np.frombuffer(r[4], "<u8") for r in rows], np.array([r[3] for r in rows], np.int64), labels, side == 1 if two else None)
+        for group in groups:
+            fps = sorted({rows[k][1] for k in group})
+            tag = np.frombuffer(np.array(fps, "<i8").tobytes(), np.uint8).tobytes()
+            g = xxhash.xxh3_64_intdigest(tag) - TOP
+            of = {rows[k][1]: rows[k][2] for k in group}
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(fps), pa.int64()), pa.array(fps, pa.int64()), pa.array([of[f] for f in fps], pa.int64())], names=["g", "fp", "label"])
+
+
+def dealt_tasks(members: DataFrame, sets: DataFrame, every_pair: bool, parts: int) -> DataFrame:
+    """Members (g, fp, label) of groups of two or more, with the columns of ``sets``, as tasks: a group, or a pair of its blocks."""
     counts = members.groupBy("g").agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     m = members.join(counts, "g").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     last = F.col("blocks") - 1
@@ -328,9 +357,18 @@ def group_links(members: DataFrame, sets: DataFrame, every_pair: bool, parts: in
         "fp",
         "label",
     )
-    dealt = tasks.join(sets, "fp").repartition(parts, "task").sortWithinPartitions("task", "side", "fp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
-    return dealt.mapInArrow(_walk, "u long, v long")
+    return tasks.join(sets, "fp").repartition(parts, "task").sortWithinPartitions("task", "side", "fp")
+
+
+def group_links(members: DataFrame, sets: DataFrame, every_pair: bool, parts: int) -> DataFrame:
+    """Links found in the groups of ``members``."""
+    return dealt_tasks(members, sets.select("fp", "tokens"), every_pair, parts).mapInArrow(_walk, "u long, v long")
+
+
+def sifted(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Groups (g, fp, label), each once, of sets that may be linked across labels by their bitmaps."""
+    bits = sets.select("fp", "bits", F.floor(F.octet_length("tokens") / 8).alias("n"))
+    return dealt_tasks(members, bits, True, parts).mapInArrow(_sift, "g long, fp long, label long").distinct()
 
 
 def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> DataFrame:
@@ -338,17 +376,38 @@ def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> Dat
     spark = df.sparkSession
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = remaining_sets(df, left, key, text)
-    seeds = left.select(F.explode(F.slice("hs", 1, 2)).alias("g"), "fp", F.col("fp").alias("label"))
+    seeds = left.select(F.explode(F.array_distinct(F.array(F.element_at("hs", -1), F.array_min("hs")))).alias("g"), "fp", F.col("fp").alias("label"))
     first = write_table(group_links(seeds, sets, False, parts), "links")
     labels = write_table(components(first), "labels")
-    # Second round: prefix shingles whose sets are in two components or more.
+    # Second round: keys whose sets are in two components or more.
     tagged = left.join(labels, left["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), F.explode("hs").alias("g"))
     tagged = write_table(tagged, "tagged")
-    # A group that stands for the same sets as another is walked once.
-    mixed = tagged.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("k"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("who")).filter("a != z")
+    # Sets of small components meet in the groups of their keys; a group that stands for the same sets as another is walked once.
+    large = write_table(labels.groupBy("label").agg(F.count("*").alias("k")).filter(F.col("k") >= LARGE).select("label"), "large")
+    small = tagged.join(large, "label", "left_anti")
+    mixed = small.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("k"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("who")).filter("a != z")
     once = mixed.groupBy("k", "who").agg(F.min("g").alias("g")).select("g")
-    second = group_links(tagged.join(once, "g").select("g", "fp", "label"), sets, True, parts)
-    return components(first.unionByName(write_table(second, "links")))
+    # Trees over bitmaps alone go first; whole sets travel only for what these leave.
+    second = group_links(write_table(sifted(small.join(once, "g").select("g", "fp", "label"), sets, parts), "sifted"), sets, True, parts)
+    # A set that shares a key with a large component is weighed against all of it, once.
+    spots = tagged.join(large, "label").select("g", F.col("label").alias("whole")).distinct()
+    guests = tagged.join(spots, "g").filter("label != whole").select("whole", "fp", "label").distinct()
+    third = large_links(write_table(guests, "guests"), labels, sets, parts)
+    return components(first.unionByName(write_table(second.unionByName(third), "links")))
+
+
+def large_links(guests: DataFrame, labels: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Links between ``guests`` (whole, fp, label) and the members of the large component ``whole``, block by block on both sides."""
+    calls = guests.groupBy("whole").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("far"))
+    homes = labels.join(calls, labels["label"] == calls["whole"]).select("whole", F.col("node").alias("fp"), "label", "far")
+    near = homes.groupBy("whole").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("near"))
+    task = lambda i, j: F.concat_ws(":", "whole", i, j)
+    spot = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = homes.join(near, "whole").select("whole", "fp", "label", spot("near").alias("i"), every("far").alias("j")).select(task("i", "j").alias("task"), F.lit(0).alias("side"), "fp", "label")
+    right = guests.join(calls, "whole").join(near, "whole").select("whole", "fp", "label", spot("far").alias("j"), every("near").alias("i")).select(task("i", "j").alias("task"), F.lit(1).alias("side"), "fp", "label")
+    dealt = left.unionByName(right).join(sets.select("fp", "tokens"), "fp").repartition(parts, "task").sortWithinPartitions("task", "side", "fp")
+    return dealt.mapInArrow(_walk, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

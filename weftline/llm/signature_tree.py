@@ -22,22 +22,25 @@ def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Tokens' low bits, as 64-bit words."""
+    out = np.zeros(bits, bool)
+    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view("<u8")
+
+
+def folded(words: np.ndarray, bits: int) -> np.ndarray:
+    """The bitmap that ``bits`` bits would have given."""
+    return np.bitwise_or.reduce(words.reshape(-1, bits // 64), axis=0)
+
+
 class SignatureTree:
-    """``sets``: sorted distinct unsigned 64-bit tokens, one array a set; ``labels``: sets of one label need no link."""
+    """Over bitmaps (one row a set), sizes and labels: sets of one label need no link. ``order`` lays like sets side by side."""
 
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, bits: int):
-        sizes = np.array([len(s) for s in sets], np.int64)
-        # Like sets side by side: by their smallest tokens.
-        heads = np.array([np.pad(s[:4], (0, 4 - len(s[:4])), mode="edge") for s in sets], np.uint64)
-        self.order = np.lexsort((heads[:, 3], heads[:, 2], heads[:, 1], heads[:, 0]))
-        self.sets, self.labels = sets, labels
-        maps = np.zeros((len(sets), bits // 64), np.uint64)
-        for i, k in enumerate(self.order):
-            bit = sets[k] & np.uint64(bits - 1)
-            np.bitwise_or.at(maps[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        s = sizes[self.order]
-        lost = s - np.bitwise_count(maps).sum(1).astype(np.int64)
-        lab = labels[self.order]
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, labels: np.ndarray, order: np.ndarray):
+        self.order = order
+        maps, s, lab = maps[order], sizes[order], labels[order]
+        lost = s - np.bitwise_count(maps).sum(1, dtype=np.int64)
         #: From the leaves up: (bitmaps, least size, largest size, most lost, label or -1 if several).
         self.levels = [(maps, s, s, lost, lab)]
         while len(self.levels[-1][0]) > 1:
@@ -46,10 +49,16 @@ class SignatureTree:
             one = np.minimum.reduceat(lab, at)
             self.levels.append((np.bitwise_or.reduceat(m, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(lost, at), np.where(one == np.maximum.reduceat(lab, at), one, -1)))
 
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], labels: np.ndarray, bits: int) -> SignatureTree:
+        heads = np.array([np.pad(s[:4], (0, 4 - len(s[:4])), mode="edge") for s in sets], np.uint64)
+        order = np.lexsort((heads[:, 3], heads[:, 2], heads[:, 1], heads[:, 0]))
+        return cls(np.array([bitmap(s, bits) for s in sets]), np.array([len(s) for s in sets], np.int64), labels, order)
+
 
-def bits_for(sets: list[np.ndarray]) -> int:
-    """Bitmap width: four times the largest set, a power of two between 256 and 65536."""
-    return int(min(65536, max(256, 1 << int(4 * max(len(s) for s in sets) - 1).bit_length())))
+def width(size: int) -> int:
+    """Bits of a set's bitmap: four times its size, a power of two between 256 and 65536."""
+    return min(65536, max(256, 1 << (4 * size - 1).bit_length()))
 
 
 def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, step: int = 4096) -> np.ndarray:
@@ -97,6 +106,32 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * same >= NUM * (len(a) + len(b) - same)
 
 
+def dual_walk(a: SignatureTree, b: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaves (by their place in ``order``) that no bound rules out; a tree against itself gives each pair once."""
+    la, lb = len(a.levels) - 1, len(b.levels) - 1
+    i = j = np.zeros(1, np.int64)
+    spread = np.arange(FANOUT)
+    while True:
+        keep = possible(a.levels[la], b.levels[lb], i, j)
+        i, j = i[keep], j[keep]
+        if not len(i) or (la == 0 and lb == 0):
+            break
+        down_a, down_b = la > 0 and la >= lb, lb > 0 and lb >= la
+        if down_a:
+            la -= 1
+            i, j = (i[:, None] * FANOUT + spread).ravel(), np.repeat(j, FANOUT)
+        if down_b:
+            lb -= 1
+            i, j = np.repeat(i, FANOUT), (j[:, None] * FANOUT + spread).ravel()
+        ok = (i < len(a.levels[la][0])) & (j < len(b.levels[lb][0]))
+        if a is b:
+            ok &= i <= j
+        i, j = i[ok], j[ok]
+    if a is b:
+        i, j = i[i != j], j[i != j]
+    return a.order[i], b.order[j]
+
+
 def tree_links(left: tuple[list[np.ndarray], np.ndarray], right: tuple[list[np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that join sets of different labels, as far as they are needed to tell components.
 
@@ -106,38 +141,49 @@ def tree_links(left: tuple[list[np.ndarray], np.ndarray], right: tuple[list[np.n
     """
     sets = left[0] + (right[0] if right else [])
     labels = np.concatenate([left[1], right[1]]) if right else left[1]
-    bits = bits_for(sets)
-    a = SignatureTree(*left, bits)
-    b = SignatureTree(*right, bits) if right else a
-    shift = len(left[0]) if right else 0
-    la, lb = len(a.levels) - 1, len(b.levels) - 1
-    i = j = np.zeros(1, np.int64)
-    while True:
-        keep = possible(a.levels[la], b.levels[lb], i, j)
-        i, j = i[keep], j[keep]
-        if not len(i) or (la == 0 and lb == 0):
-            break
-        if la > 0 and (la >= lb):
-            size, la = len(a.levels[la - 1][0]), la - 1
-            i = (i[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            j = np.repeat(j, FANOUT)
-            i, j = i[i < size], j[i < size]
-            if not right and lb > la:  # one tree against itself: both sides go down together
-                size, lb = len(b.levels[lb - 1][0]), lb - 1
-                j = (j[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                i = np.repeat(i, FANOUT)
-                ok = (j < size) & (i <= j)
-                i, j = i[ok], j[ok]
-        else:
-            size, lb = len(b.levels[lb - 1][0]), lb - 1
-            j = (j[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            i = np.repeat(i, FANOUT)
-            i, j = i[j < size], j[j < size]
+    bits = width(max(len(s) for s in sets))
+    a = SignatureTree.of_sets(*left, bits)
+    i, j = dual_walk(a, SignatureTree.of_sets(*right, bits) if right else a)
+    if right:
+        j = j + len(left[0])
     union, first, out = Union(len(sets)), {}, []
     for k, label in enumerate(labels.tolist()):
         union.join(first.setdefault(label, k), k)
-    for x, y in zip(a.order[i].tolist(), (b.order[j] + shift).tolist(), strict=True):
-        if x != y and union.find(x) != union.find(y) and linked(sets[x], sets[y]):
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        if union.find(x) != union.find(y) and linked(sets[x], sets[y]):
             union.join(x, y)
             out.append((x, y))
     return out
+
+
+def possible_groups(maps: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, right: np.ndarray | None = None) -> list[list[int]]:
+    """Sets that may be linked across labels, by bitmaps alone, brought together in groups.
+
+    ``right`` marks the sets of the other side; without it all meet all.  Bitmaps
+    have the width of their set's size: linked sets differ by one step at most, so each
+    width is walked with the next one folded to it.
+    """
+    bits = np.array([64 * len(m) for m in maps])
+    union, hit = Union(len(maps)), np.zeros(len(maps), bool)
+    for w in sorted(set(bits.tolist())):
+        own = np.flatnonzero((bits == w) | (bits == 2 * w))
+        if len(own) < 2:
+            continue
+        rows = np.array([folded(maps[k], w) for k in own])
+        trees = []
+        for side in (None,) if right is None else (False, True):
+            k = np.arange(len(own)) if side is None else np.flatnonzero(right[own] == side)
+            if len(k):
+                # Like sets side by side: by label, then bitmap.
+                order = np.lexsort((rows[k, 0], sizes[own[k]], labels[own[k]]))
+                trees.append((k, SignatureTree(rows[k], sizes[own[k]], labels[own[k]], order)))
+        if right is not None and len(trees) < 2:
+            continue
+        i, j = dual_walk(trees[0][1], trees[-1][1])
+        for x, y in zip(own[trees[0][0]][i].tolist(), own[trees[-1][0]][j].tolist(), strict=True):
+            union.join(x, y)
+            hit[x] = hit[y] = True
+    groups: dict[int, list[int]] = {}
+    for k in np.flatnonzero(hit).tolist():
+        groups.setdefault(union.find(k), []).append(k)
+    return list(groups.values())
