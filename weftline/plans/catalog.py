@@ -1,6 +1,435 @@
-"""Registered queries over the tables, with their SQL."""
+"""Registered queries over the tables, with their SQL.
+
+Each takes (spark, sf_dir).  Queries over ``pages`` parse in one Arrow pass;
+everything after it, and every query over the other tables, is Column expressions.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from weftline.functions import scalars as S
+from weftline.operators import extract as X
+from weftline.operators import nodes as N
+from weftline.operators import profile as P
+from weftline.operators import snapshot as D
+from weftline.session import table
+from weftline.sources.specs import Field, Spec
+
+LINKS = Spec("links", "http://example.com/", {"label": Field("a"), "href": Field("a", attr="href")}, row="nav li")
+TITLES = Spec("titles", "http://example.com/", {"title": Field("h1"), "links": Field("nav a", "list")})
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages")
+
+
+# --- pages -----------------------------------------------------------------------------
+
+
+def nav_links(spark: SparkSession, d: str) -> DataFrame:
+    return X.rows(X.scan(pages(spark, d).select("page_id", "html"), LINKS), LINKS)
+
+
+NAV_LINKS = """
+SELECT page_id, CAST(i - 1 AS INTEGER) AS row_index, regexp_replace(labels[i], '<[^>]*>', '', 'g') AS label, hrefs[i] AS href FROM (
+  SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS labels,
+    unnest(range(1, len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) + 1)) AS i FROM pages)
+"""
+
+
+def link_counts(spark: SparkSession, d: str) -> DataFrame:
+    s = X.scan(pages(spark, d).select("page_id", "html"), LINKS.only(["href"]))
+    return s.select("page_id", F.size("found").cast("long").alias("links"))
+
+
+LINK_COUNTS = """SELECT page_id, CAST(len(regexp_extract_all(html, '<a href="')) AS BIGINT) AS links FROM pages"""
+
+
+def selector_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The relational form of a selector: semi-joins on id ranges."""
+    n = N.nodes(pages(spark, d), text=False)
+    return N.select_nodes(n, "nav ul > li:nth-child(2n+1) a[href^='/']").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+SELECTOR_PLAN = """
+SELECT page_id AS doc_id, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT page_id, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs FROM pages))
+WHERE i % 2 = 1 AND starts_with(hrefs[i], '/') GROUP BY page_id
+"""
+
+
+def element_tags(spark: SparkSession, d: str) -> DataFrame:
+    return N.nodes(pages(spark, d), text=False).filter("node_id > 0").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+ELEMENT_TAGS = """
+SELECT tag, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag
+"""
+
+
+def h1_titles(spark: SparkSession, d: str) -> DataFrame:
+    s = X.scan(pages(spark, d).select("page_id", "html"), TITLES.only(["title"]))
+    return X.rows(s, TITLES.only(["title"])).select("page_id", "title")
+
+
+H1_TITLES = r"""
+SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&quot;', '"'), '&copy;', '©'), '&amp;', '&'), '[\s]+', ' ', 'g')), '') AS title FROM pages
+"""
+
+
+def page_cause(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts with made-up statuses and final addresses, so that every branch is met."""
+    p = pages(spark, d)
+    strict = Spec("strict", "", {"href": Field("a", attr="href")}, row="nav li", rows_min=5)
+    k = F.pmod("page_id", F.lit(10))
+    staged = p.select("page_id", "url", "html", F.when(k == 0, 403).when(k == 1, 500).when(k == 2, 0).otherwise(200).alias("status"), F.when(k == 3, "http://elsewhere.example/x").otherwise(F.concat("url", F.lit("#again"))).alias("final_url"))
+    return X.verdicts(staged, strict, ["page_id"], F.col("status"), F.col("final_url"), F.col("url")).select("page_id", "n_rows", "n_violations", "cause", "repairable")
+
+
+PAGE_CAUSE = """
+SELECT page_id, n_rows, n_violations, cause, cause = 'LAYOUT_CHANGE' AS repairable FROM (
+  SELECT page_id, n AS n_rows, CASE WHEN n < 5 THEN 1 ELSE 0 END AS n_violations,
+    CASE WHEN page_id % 10 = 0 THEN 'BLOCKED' WHEN page_id % 10 IN (1, 2) THEN 'HTTP_ERROR' WHEN page_id % 10 = 3 THEN 'REDIRECTED' WHEN n < 5 THEN 'LAYOUT_CHANGE' ELSE 'OK' END AS cause
+  FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '<a href="')) AS INTEGER) AS n FROM pages))
+"""
+
+
+def repeated_groups(spark: SparkSession, d: str) -> DataFrame:
+    g = N.repeated_groups(N.nodes(pages(spark, d), text=False), 4)
+    return g.groupBy("signature").agg(F.count("*").alias("groups"), F.sum("n").alias("members"))
+
+
+def url_targets(spark: SparkSession, d: str) -> DataFrame:
+    other = F.concat(F.regexp_replace("url", "^http://", "http://www."), F.when(F.pmod("page_id", F.lit(2)) == 0, "?x=1").otherwise(""))
+    return pages(spark, d).select("page_id", S.url_host("url").alias("host"), S.url_path("url").alias("path"), S.same_target(F.col("url"), other).alias("same"), S.same_target(F.col("url"), F.lit("http://a.example/")).alias("other"))
+
+
+URL_TARGETS = r"""
+SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '') AS host,
+  CASE WHEN p = '' THEN '/' WHEN len(p) > 1 AND ends_with(p, '/') THEN p[:-2] ELSE p END AS path, true AS same, false AS other
+FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS p FROM pages)
+"""
+
+ROBOTS_ALLOW, ROBOTS_DISALLOW = ["/en/1", "/*page="], ["/en/", "/fr/8", "/*?*ref=x$"]
+
+
+def robots_allow(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/")), F.coalesce(F.concat(F.lit("?"), F.try_parse_url("url", F.lit("QUERY"))), F.lit("")))
+    p = pages(spark, d).select("page_id", path.alias("path"))
+    a, n = (F.array(*[F.lit(x) for x in rules]) for rules in (ROBOTS_ALLOW, ROBOTS_DISALLOW))
+    return p.select("page_id", S.path_allowed(F.col("path"), a, n).alias("allowed"))
+
+
+ROBOTS_SQL = r"""
+SELECT page_id, no = -1 OR yes >= no AS allowed FROM (
+  SELECT page_id,
+    greatest(CASE WHEN starts_with(p, '/en/') THEN 4 ELSE -1 END, CASE WHEN starts_with(p, '/fr/8') THEN 5 ELSE -1 END, CASE WHEN regexp_matches(p, '^/.*\?.*ref=x$') THEN 10 ELSE -1 END) AS no,
+    greatest(CASE WHEN starts_with(p, '/en/1') THEN 5 ELSE -1 END, CASE WHEN regexp_matches(p, '^/.*page=') THEN 7 ELSE -1 END) AS yes
+  FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^#]*)', 1) AS p FROM pages))
+"""
+
+
+# --- kernels on tables -------------------------------------------------------------------
+
+
+def written_price(cents: Column, key: Column) -> Column:
+    """An amount the ways people write it."""
+    whole, part = F.floor(cents / 100).cast("string"), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0")
+    grouped = lambda sep: F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", f"$1{sep}")
+    k = F.pmod(key, F.lit(6))
+    return (
+        F.when(k == 0, F.concat(F.lit("$"), grouped(","), F.lit("."), part)).when(k == 1, F.concat(grouped("."), F.lit(","), part, F.lit(" kr")))
+        .when(k == 2, F.concat(whole, F.lit("."), part, F.lit(" USD"))).when(k == 3, F.concat(whole, F.lit(","), part)).when(k == 4, F.lit("Free")).otherwise(F.concat(F.lit("-"), grouped(",")))
+    )
+
+
+def parse_prices(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    text = written_price(F.col("cents"), F.col("o_orderkey"))
+    return o.select("o_orderkey", F.round(S.parse_number(text) * 100).cast("long").alias("cents"), S.kind_of(text).alias("kind"), S.shape_of(text).alias("shape"))
+
+
+PARSE_PRICES = """
+SELECT o_orderkey, CASE k WHEN 4 THEN NULL WHEN 5 THEN -100 * (c // 100) ELSE c END AS cents,
+  CASE k WHEN 0 THEN 'currency' WHEN 1 THEN 'words-short' WHEN 2 THEN 'currency' WHEN 4 THEN 'words-short' ELSE 'numeric' END AS kind,
+  CASE k WHEN 0 THEN '$' || repeat('#,', groups - 1) || '#.#' WHEN 1 THEN repeat('#.', groups - 1) || '#,# W' WHEN 2 THEN '#.# W' WHEN 3 THEN '#,#' WHEN 4 THEN 'W' ELSE '-' || repeat('#,', groups - 1) || '#' END AS shape
+FROM (SELECT o_orderkey, o_orderkey % 6 AS k, c, CAST((len(CAST(c // 100 AS VARCHAR)) + 2) // 3 AS INTEGER) AS groups FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders))
+"""
+
+
+def kind_histogram(spark: SparkSession, d: str) -> DataFrame:
+    t = F.explode(F.split("text", "\n"))
+    return table(spark, d, "documents").select(t.alias("line")).groupBy(S.kind_of("line").alias("kind")).agg(F.count("*").alias("n"))
+
+
+KIND_HISTOGRAM = r"""
+SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN t = '' THEN 'empty'
+    WHEN regexp_matches(t, '[$€£¥₹]') OR regexp_matches(t, '(?i)(^|[^a-z0-9_])(usd|eur|gbp|jpy|cad|aud|chf|cny|inr|dollars?|euros?|pounds?|yen|rupees?|cents?|pence)([^a-z0-9_]|$)') THEN 'currency'
+    WHEN regexp_matches(t, '^[0-9.,\s%+/-]+$') THEN 'numeric'
+    WHEN w <= 2 THEN 'words-short' WHEN w <= 6 THEN 'words-mid' ELSE 'words-long' END AS kind
+  FROM (SELECT t, len(regexp_split_to_array(t, '[\x09-\x0D ]+')) AS w FROM (SELECT regexp_replace(unnest(string_split(text, chr(10))), '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g') AS t FROM documents)))
+GROUP BY kind
+"""
+
+
+def shape_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy(S.shape_of("props").alias("shape")).agg(F.count("*").alias("n"))
+
+
+SHAPE_HISTOGRAM = r"""
+SELECT substr(trim(regexp_replace(regexp_replace(regexp_replace(props, '[0-9]+', '#', 'g'), '[A-Za-z]+', 'W', 'g'), '\s+', ' ', 'g')), 1, 40) AS shape, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1
+"""
+
+
+# --- contract ------------------------------------------------------------------------------
+
+
+def contract_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    """The contract's rules on a table: every rule in one pass, exploded once."""
+    v = lambda cond, code, field: F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field")))
+    li = table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_returnflag", "l_extendedprice")
+    found = F.array_compact(
+        F.array(
+            v(F.col("l_quantity") < 5, "FIELD_RANGE", "quantity"),
+            v(F.col("l_quantity") > 45, "FIELD_RANGE", "quantity"),
+            v(S.parse_number(F.when(F.col("l_returnflag") == "R", "n/a").otherwise(F.col("l_discount").cast("string"))).isNull(), "FIELD_TYPE", "discount"),
+            v(F.nullif(F.when(F.col("l_extendedprice") < 2000, "").otherwise("x"), F.lit("")).isNull(), "FIELD_MISSING", "price"),
+        )
+    )
+    return li.select(F.explode(found).alias("v")).groupBy("v.code", "v.field").agg(F.count("*").alias("n"))
+
+
+CONTRACT_LINEITEM = """
+SELECT code, field, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'FIELD_RANGE' AS code, 'quantity' AS field FROM lineitem WHERE l_quantity < 5 OR l_quantity > 45
+  UNION ALL SELECT 'FIELD_TYPE', 'discount' FROM lineitem WHERE l_returnflag = 'R'
+  UNION ALL SELECT 'FIELD_MISSING', 'price' FROM lineitem WHERE l_extendedprice < 2000) GROUP BY code, field
+"""
+
+
+# --- profiles and drift --------------------------------------------------------------------
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    """One run a day; one field an event type; values missing on purpose late in the month."""
+    e = table(spark, d, "events")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    missing = (F.dayofmonth("ts") > 24) & (F.pmod("event_id", F.lit(2)) == 0) & (F.col("event_type") == F.lit("click"))
+    scaled = F.when((F.dayofmonth("ts") == 20), F.col("value") * 2).otherwise(F.col("value"))
+    return e.select(F.lit("events").alias("spec"), day.alias("ts"), F.col("event_type").alias("field"), "event_id", F.when(~missing, scaled).alias("v"))
+
+
+_DAILY_SQL = """daily AS (
+  SELECT 'events' AS spec, strftime(ts, '%Y-%m-%d') AS ts, event_type AS field, event_id,
+    CASE WHEN day(ts) > 24 AND event_id % 2 = 0 AND event_type = 'click' THEN NULL WHEN day(ts) = 20 THEN value * 2 ELSE value END AS v FROM events),
+prof AS (SELECT spec, ts, field, count(v) AS n, count(*) - count(v) AS nulls, median(v) AS median, min(v) AS min, max(v) AS max FROM daily GROUP BY ALL)"""
+
+
+def _profile(daily: DataFrame) -> DataFrame:
+    return daily.groupBy("spec", "ts", "field").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("nulls"), F.median("v").alias("median"), F.min("v").alias("min"), F.max("v").alias("max"))
+
+
+def profile_by_type(spark: SparkSession, d: str) -> DataFrame:
+    r = lambda c: F.round(c, 6)
+    return _profile(_daily(spark, d)).select("ts", "field", "n", "nulls", r("median").alias("median"), r("min").alias("min"), r("max").alias("max"))
+
+
+PROFILE = f"WITH {_DAILY_SQL} SELECT ts, field, n, nulls, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max FROM prof"
+
+
+def drift_daily(spark: SparkSession, d: str) -> DataFrame:
+    h = _profile(_daily(spark, d)).withColumn("rows", F.col("n") + F.col("nulls"))
+    return P.drift_over_time(h, limit=7).select("spec", "ts", "field", "code", F.round("change", 6).alias("change"))
+
+
+DRIFT_DAILY = f"""WITH {_DAILY_SQL}, h AS (
+  SELECT *, n + nulls AS rows, count(*) OVER w AS seen, median(n + nulls) OVER w AS base_rows, median(median) OVER w AS base_median, avg(nulls / greatest(1, n + nulls)) OVER w AS base_nulls
+  FROM prof WINDOW w AS (PARTITION BY spec, field ORDER BY ts ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
+), f AS (SELECT * FROM h WHERE seen >= 3)
+SELECT spec, ts, field, 'ROW_COUNT_SHIFT' AS code, round(abs(rows - base_rows) / base_rows, 6) AS change FROM f WHERE base_rows > 0 AND abs(rows - base_rows) / base_rows > 0.5
+UNION ALL SELECT spec, ts, field, 'MAGNITUDE_SHIFT', round(abs(median - base_median) / abs(base_median), 6) FROM f WHERE base_median <> 0 AND abs(median - base_median) / abs(base_median) > 0.15
+UNION ALL SELECT spec, ts, field, 'NULL_RATE_SHIFT', round(nulls / greatest(1, n + nulls) - base_nulls, 6) FROM f WHERE nulls / greatest(1, n + nulls) - base_nulls > 0.3
+"""
+
+
+def modal_type(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.pmod("user_id", F.lit(500)).alias("user_group"), "event_type", "event_id")
+    return P.modal(e, ["user_group"], "event_type", "event_id")
+
+
+MODAL_TYPE = """
+SELECT user_group, event_type, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_group ORDER BY n DESC, first) AS r FROM (
+    SELECT user_id % 500 AS user_group, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1, 2)) WHERE r = 1
+"""
+
+
+def latest_history(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_type", "event_id", "ts")
+    w = W.partitionBy("event_type").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return e.withColumn("r", F.row_number().over(w)).filter("r <= 30").select("event_type", "event_id", F.col("r").cast("long").alias("r"))
+
+
+LATEST = "SELECT event_type, event_id, r FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 30"
+
+
+# --- snapshots -----------------------------------------------------------------------------
+
+
+def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    before = o.filter(F.pmod("o_orderkey", F.lit(7)) != 0)
+    after = o.filter(F.pmod("o_orderkey", F.lit(11)) != 0).withColumn("cents", F.col("cents") + F.when(F.pmod("o_orderkey", F.lit(5)) == 0, 100).otherwise(0))
+    return after, before
+
+
+def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    now, seen = _snapshots(spark, d)
+    c = D.compare(now, seen, ["o_orderkey"])
+    return c.groupBy("change").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("after.cents"), F.lit(0)) - F.coalesce(F.col("before.cents"), F.lit(0))).alias("delta"))
+
+
+_SNAP_SQL = """o AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders),
+b AS (SELECT k, c FROM o WHERE k % 7 <> 0), a AS (SELECT k, c + CASE WHEN k % 5 = 0 THEN 100 ELSE 0 END AS c FROM o WHERE k % 11 <> 0)"""
+SNAPSHOT_DIFF = f"""WITH {_SNAP_SQL}
+SELECT change, CAST(count(*) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS delta FROM (
+  SELECT CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN a.c = b.c THEN 'unchanged' ELSE 'updated' END AS change, coalesce(a.c, 0) - coalesce(b.c, 0) AS d
+  FROM a FULL JOIN b ON a.k = b.k) GROUP BY change"""
+
+
+def snapshot_events(spark: SparkSession, d: str) -> DataFrame:
+    now, seen = _snapshots(spark, d)
+    e = D.change_events(now, seen, ["o_orderkey"], "2024-01-31")
+    return e.select(F.col("_change").alias("change"), F.col("_before.cents").alias("before_cents"), "o_orderkey", "cents")
+
+
+SNAPSHOT_EVENTS = f"""WITH {_SNAP_SQL}
+SELECT CASE WHEN b.k IS NULL THEN 'added' ELSE 'updated' END AS change, b.c AS before_cents, a.k AS o_orderkey, a.c AS cents FROM a LEFT JOIN b ON a.k = b.k WHERE b.k IS NULL OR a.c <> b.c"""
+
+
+def append_new(spark: SparkSession, d: str) -> DataFrame:
+    now, seen = _snapshots(spark, d)
+    return D.new_rows(now, seen, ["o_orderkey"]).select("o_orderkey", "cents")
+
+
+APPEND_NEW = f"WITH {_SNAP_SQL} SELECT a.k AS o_orderkey, a.c AS cents FROM a WHERE a.k NOT IN (SELECT k FROM b)"
+
+
+def csv_nation(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit('a "'), "n_name", F.lit('", b')).alias("name"), F.array(F.col("n_name"), F.lit("x")).alias("tags"), F.lit(None).cast("string").alias("gone"))
+    return D.csv_lines(n)
+
+
+CSV_NATION = """SELECT n_nationkey || ',"a ""' || n_name || '"", b",' || n_name || '; x,' AS value FROM nation"""
+
+
+# --- ranking ---------------------------------------------------------------------------------
+
+
+def topk_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The best four of each group by score, first on ties."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long").alias("score"))
+    w = W.partitionBy("l_orderkey").orderBy(F.col("score").desc(), "l_linenumber")
+    return li.withColumn("r", F.row_number().over(w)).filter("r <= 4").select("l_orderkey", "l_linenumber", "score", F.col("r").cast("long").alias("r"))
+
+
+TOPK = """SELECT l_orderkey, l_linenumber, score, r FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber) AS r FROM (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS score FROM lineitem)) WHERE r <= 4"""
+
+
+def class_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """Set similarity and hashed names on made-up class lists."""
+    c = table(spark, d, "customer").select("c_custkey", F.array(F.lower("c_mktsegment"), F.concat(F.lit("css-"), F.col("c_custkey").cast("string"))).alias("a"), F.array(F.lower("c_mktsegment"), F.lit("card")).alias("b"))
+    return c.select("c_custkey", S.jaccard("a", "b").alias("whole"), S.jaccard(S.stable_classes("a"), "b").alias("stable"), S.group_signature(F.lit("div"), "a").alias("signature"))
+
+
+CLASS_JACCARD = "SELECT c_custkey, 1.0::DOUBLE / 3 AS whole, 0.5::DOUBLE AS stable, 'div.' || lower(c_mktsegment) AS signature FROM customer"
+
+
+# --- search and state ------------------------------------------------------------------------
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("seed"))
+
+
+def repair_moved_price(spark: SparkSession, d: str) -> DataFrame:
+    """A generated page a supplier, its price moved or gone; the proved repair of each, on the executors."""
+    from weftline.operators.repair import repair
+    from weftline.plans.demo import SPEC, catalogue
+    from weftline.sources.html import parse
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for seed in pdf["seed"].tolist():
+                archive = [("2024-01-01", parse(catalogue(6, seed)))]
+                gone = seed % 3 == 0
+                live = catalogue(6, seed + 1, cost="" if gone else '<b data-testid="cost-value">{}</b>', stars=True)
+                r = repair(SPEC, parse(live), archive)
+                out.append((seed, r.fixes[0].proposed if r.fixes else None, ",".join(r.unhealed)))
+            yield pd.DataFrame(out, columns=["seed", "selector", "unhealed"])
+
+    return _parts(spark, d).mapInPandas(run, "seed int, selector string, unhealed string")
+
+
+REPAIR_SQL = """SELECT CAST(s_suppkey AS INTEGER) AS seed, CASE WHEN s_suppkey % 3 <> 0 THEN '.cost, [data-testid="cost-value"]' END AS selector, CASE WHEN s_suppkey % 3 = 0 THEN 'price' ELSE '' END AS unhealed FROM supplier"""
+
+
+def infer_specs(spark: SparkSession, d: str) -> DataFrame:
+    """A spec for each generated page, and whether it holds on its own page."""
+    from weftline.operators.infer import infer_spec
+    from weftline.operators.repair import violations
+    from weftline.plans.demo import catalogue
+    from weftline.sources.html import parse
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for seed in pdf["seed"].tolist():
+                html = catalogue(4 + seed % 5, seed)
+                spec, n, _ = infer_spec(html, "http://example.com/", "x")
+                out.append((seed, spec.row, n, len(violations(parse(html), spec))))
+            yield pd.DataFrame(out, columns=["seed", "row", "n", "violations"])
+
+    return _parts(spark, d).mapInPandas(run, "seed int, row string, n int, violations int")
+
+
+INFER_SQL = "SELECT CAST(s_suppkey AS INTEGER) AS seed, '.item' AS row, CAST(4 + s_suppkey % 5 AS INTEGER) AS n, 0 AS violations FROM supplier"
+
+
+def watch_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Events as cycles of a watcher: purchases fail, refunds are blocked, the rest passes."""
+    from weftline.streaming.watch import watch_fold as fold
+
+    e = table(spark, d, "events")
+    none = F.array().cast("array<string>")
+    bad = F.pmod(F.col("event_id"), F.lit(7))
+    r = e.select(
+        F.concat(F.lit("u"), F.pmod("user_id", F.lit(100)).cast("string")).alias("spec"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("#"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("ts"),
+        (bad > 1).alias("ok"), F.when(bad == 0, "BLOCKED").when(bad == 1, "LAYOUT_CHANGE").otherwise("OK").alias("cause"), none.alias("healed"), F.when(bad == 1, F.array(F.lit("price"))).otherwise(none).alias("unhealed"), none.alias("drift"),
+    )
+    return fold(r).groupBy("spec", "event").agg(F.count("*").alias("n"))
+
+
+QUERIES = {
+    "nav_links": nav_links, "link_counts": link_counts, "selector_plan": selector_plan, "element_tags": element_tags, "h1_titles": h1_titles,
+    "page_cause": page_cause, "repeated_groups": repeated_groups, "url_targets": url_targets, "robots_allow": robots_allow, "parse_prices": parse_prices,
+    "kind_histogram": kind_histogram, "shape_histogram": shape_histogram, "contract_lineitem": contract_lineitem, "profile_by_type": profile_by_type,
+    "drift_daily": drift_daily, "modal_type": modal_type, "latest_history": latest_history, "snapshot_diff": snapshot_diff, "snapshot_events": snapshot_events,
+    "append_new": append_new, "csv_nation": csv_nation, "topk_lines": topk_lines, "class_jaccard": class_jaccard, "repair_moved_price": repair_moved_price,
+    "infer_specs": infer_specs, "watch_fold": watch_fold,
+}
+SQL = {
+    "nav_links": NAV_LINKS, "link_counts": LINK_COUNTS, "selector_plan": SELECTOR_PLAN, "element_tags": ELEMENT_TAGS, "h1_titles": H1_TITLES, "page_cause": PAGE_CAUSE,
+    "url_targets": URL_TARGETS, "robots_allow": ROBOTS_SQL, "parse_prices": PARSE_PRICES, "kind_histogram": KIND_HISTOGRAM, "shape_histogram": SHAPE_HISTOGRAM,
+    "contract_lineitem": CONTRACT_LINEITEM, "profile_by_type": PROFILE, "drift_daily": DRIFT_DAILY, "modal_type": MODAL_TYPE, "latest_history": LATEST,
+    "snapshot_diff": SNAPSHOT_DIFF, "snapshot_events": SNAPSHOT_EVENTS, "append_new": APPEND_NEW, "csv_nation": CSV_NATION, "topk_lines": TOPK, "class_jaccard": CLASS_JACCARD,
+    "repair_moved_price": REPAIR_SQL, "infer_specs": INFER_SQL,
+}
