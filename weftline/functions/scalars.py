@@ -104,14 +104,18 @@ def group_signature(tag: Column | str, classes: Column | str) -> Column:
     return F.concat(_col(tag), F.lit("."), F.array_join(F.array_sort(stable_classes(classes)), "."))
 
 
+# Addresses are cut by pattern: a URI parser would reject what browsers accept.
+_AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"
+
+
 def url_host(c: Column | str) -> Column:
-    host = F.lower(F.try_parse_url(_col(c), F.lit("HOST")))
+    """Lower-cased host without ``www.``; null where there is none."""
+    host = F.lower(F.nullif(F.regexp_extract(_col(c), _AUTHORITY + r"(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     return F.regexp_replace(host, r"^www\.", "")
 
 
 def url_path(c: Column | str) -> Column:
-    c = _col(c)
-    path = F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.lit(""))
+    path = F.regexp_extract(_col(c), _AUTHORITY + r"[^/?#]*([^?#]*)", 1)
     path = F.when(path == "", "/").otherwise(path)
     return F.when((F.length(path) > 1) & path.endswith("/"), F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
 
@@ -139,7 +143,7 @@ def csv_cell(c: Column | str) -> Column:
 
 
 def fixture_date(c: Column | str) -> Column:
-    return F.try_to_date(F.regexp_extract(_col(c), r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.regexp_extract(_col(c), r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
+    return F.regexp_extract(_col(c), r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
 
 
 def age_in_days(source: Column | str, now: Column) -> Column:

@@ -104,7 +104,7 @@ def repeated_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def url_targets(spark: SparkSession, d: str) -> DataFrame:
-    other = F.concat(F.regexp_replace("url", "^http://", "http://www."), F.when(F.pmod("page_id", F.lit(2)) == 0, "?x=1").otherwise(""))
+    other = F.concat(F.regexp_replace("url", r"^(https?)://(www\.)?", "http://www."), F.when(F.pmod("page_id", F.lit(2)) == 0, "?x=1").otherwise(""))
     return pages(spark, d).select("page_id", S.url_host("url").alias("host"), S.url_path("url").alias("path"), S.same_target(F.col("url"), other).alias("same"), S.same_target(F.col("url"), F.lit("http://a.example/")).alias("other"))
 
 
