@@ -365,10 +365,10 @@ def group_links(members: DataFrame, sets: DataFrame, every_pair: bool, parts: in
     return dealt_tasks(members, sets.select("fp", "tokens"), every_pair, parts).mapInArrow(_walk, "u long, v long")
 
 
-def sifted(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def sifted(members: DataFrame, sets: DataFrame, every_pair: bool, parts: int) -> DataFrame:
     """Groups (g, fp, label), each once, of sets that may be linked across labels by their bitmaps."""
     bits = sets.select("fp", "bits", F.floor(F.octet_length("tokens") / 8).alias("n"))
-    return dealt_tasks(members, bits, True, parts).mapInArrow(_sift, "g long, fp long, label long").distinct()
+    return dealt_tasks(members, bits, every_pair, parts).mapInArrow(_sift, "g long, fp long, label long").distinct()
 
 
 def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> DataFrame:
@@ -377,7 +377,8 @@ def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> Dat
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = remaining_sets(df, left, key, text)
     seeds = left.select(F.explode(F.array_distinct(F.array(F.element_at("hs", -1), F.array_min("hs")))).alias("g"), "fp", F.col("fp").alias("label"))
-    first = write_table(group_links(seeds, sets, False, parts), "links")
+    # In both rounds trees over bitmaps alone go first; whole sets travel only for what these leave.
+    first = write_table(group_links(write_table(sifted(seeds, sets, False, parts), "sifted"), sets, False, parts), "links")
     labels = write_table(components(first), "labels")
     # Second round: keys whose sets are in two components or more.
     tagged = left.join(labels, left["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), F.explode("hs").alias("g"))
@@ -387,8 +388,7 @@ def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> Dat
     small = tagged.join(large, "label", "left_anti")
     mixed = small.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("k"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("who")).filter("a != z")
     once = mixed.groupBy("k", "who").agg(F.min("g").alias("g")).select("g")
-    # Trees over bitmaps alone go first; whole sets travel only for what these leave.
-    second = group_links(write_table(sifted(small.join(once, "g").select("g", "fp", "label"), sets, parts), "sifted"), sets, True, parts)
+    second = group_links(write_table(sifted(small.join(once, "g").select("g", "fp", "label"), sets, True, parts), "sifted"), sets, True, parts)
     # A set that shares a key with a large component is weighed against all of it, once.
     spots = tagged.join(large, "label").select("g", F.col("label").alias("whole")).distinct()
     guests = tagged.join(spots, "g").filter("label != whole").select("whole", "fp", "label").distinct()
