@@ -1,0 +1,193 @@
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.operators import extract as X
+from weftline.operators import profile as P
+from weftline.operators import snapshot as D
+from weftline.operators.infer import infer_spec
+from weftline.operators.repair import repair, union_selector, violations
+from weftline.plans import api
+from weftline.plans.demo import SPEC, catalogue, run_demo
+from weftline.sources.html import parse
+from weftline.sources.specs import Field, Settings, Spec, SpecError, format_duration, format_for, parse_duration, spec_from_dict, spec_to_dict
+from weftline.sources.web import Fetched, paginate, parse_robots, save_fixture
+from weftline.streaming.notify import dispatch
+from weftline.streaming.watch import RESULT, State, advance, cooldown_for, run_watch, watch_fold
+
+
+def scan(spark, html, spec=SPEC):
+    return X.scan(spark.createDataFrame([(1, html)], "page_id long, html string"), spec, facts=True)
+
+
+def test_extract_and_contract(spark):
+    s = scan(spark, catalogue(3))
+    rows = X.rows(s, SPEC).collect()
+    assert [r.row_index for r in rows] == [0, 1, 2] and all(r.price > 1 and len(r.tags) >= 2 for r in rows)
+    assert X.violations(s, SPEC, ["page_id"]).count() == 0
+    strict = Spec("s", "http://e/", {"price": Field(".cost", "number", max=1), "tags": Field("li", "list", min_items=9), "gone": Field(".gone")}, row=".item", rows_min=5)
+    v = X.violations(scan(spark, catalogue(3), strict), strict, ["page_id"]).orderBy("ord").collect()
+    assert [x.code for x in v[:4]] == ["ROW_COUNT", "FIELD_RANGE", "LIST_TOO_SHORT", "FIELD_MISSING"]
+    assert [(x.code, x.field, x.row) for x in v] == violations(parse(catalogue(3)), strict)
+
+
+def test_causes(spark):
+    page = catalogue(3)
+    df = spark.createDataFrame(
+        [(1, 200, SPEC.url, page), (2, 403, SPEC.url, page), (3, 200, SPEC.url, "<p>Just a moment"), (4, 500, SPEC.url, page), (5, 200, SPEC.url, "<p>x"), (6, 200, "https://other.example/", page),
+         (7, 200, "https://www.shop.example/list/?a=1", page), (8, 200, SPEC.url, catalogue(3, cost="")), (9, 200, SPEC.url, '<div class="g-recaptcha">' + page), (10, 200, SPEC.url, None)],
+        "id int, status int, final string, html string",
+    )
+    got = {r.id: r.cause for r in X.verdicts(df, SPEC, ["id"], F.col("status"), F.col("final")).collect()}
+    assert got == {1: "OK", 2: "BLOCKED", 3: "BLOCKED", 4: "HTTP_ERROR", 5: "EMPTY", 6: "REDIRECTED", 7: "OK", 8: "LAYOUT_CHANGE", 9: "BLOCKED", 10: "EMPTY"}
+
+
+HISTORY = "ts string, rows long, field string, n long, nulls long, kinds array<struct<first:int,kind:string,n:long>>, median double, min double, max double"
+
+
+def run(ts, rows=10, median=20.0, kind="currency", nulls=0):
+    return (ts, rows, "price", rows - nulls, nulls, [(0, kind, rows - nulls)], median, 1.0, 99.0)
+
+
+def test_drift(spark):
+    base = spark.createDataFrame([run(f"t{i}") for i in range(3)], HISTORY)
+    codes = lambda *a, b=base, **k: sorted(r.code for r in P.detect_drift(b, spark.createDataFrame([run("now", *a, **k)], HISTORY)).collect())
+    assert codes() == []
+    assert codes(median=24.0) == ["MAGNITUDE_SHIFT"]
+    assert codes(rows=16) == ["ROW_COUNT_SHIFT"]
+    assert codes(kind="numeric") == ["KIND_SHIFT"]
+    assert codes(nulls=4) == ["NULL_RATE_SHIFT"]
+    assert codes(median=24.0, b=base.limit(2)) == []
+    one = P.detect_drift(spark.createDataFrame([run("fixture:2024-01-01")], HISTORY), spark.createDataFrame([run("now", median=24.0)], HISTORY)).collect()
+    assert one[0].code == "MAGNITUDE_SHIFT" and "20% up" in one[0].detail and "provisional: only 1 reference observation" in one[0].detail
+
+
+def test_retirement(spark):
+    f = spark.createDataFrame([("s", "2020-01-01", False), ("s", "2020-02-01", True), ("s", "2024-01-02", False), ("s", "2024-01-03", False)], "spec string, source string, ok boolean")
+    got = {r.source for r in P.retirement(f, F.lit("2024-01-10").cast("timestamp"), keep=2).collect()}
+    assert got == {"2020-01-01"}
+
+
+def test_snapshot(spark):
+    s = "k string, v double, x array<string>"
+    seen = spark.createDataFrame([("a", 1.0, ["p"]), ("b", 2.0, None), ("c", 3.0, [])], s)
+    now = spark.createDataFrame([("a", 1.0, ["p"]), ("b", 5.0, None), ("d", 4.0, ["q", "r"]), ("d", 4.0, ["q", "r"]), (None, 1.0, None)], s)
+    counts = {r.change: r.n for r in D.compare(now, seen, ["k"]).groupBy("change").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"unchanged": 1, "updated": 1, "added": 3, "removed": 1}
+    e = {r.k: r for r in D.change_events(now, seen, ["k"], "t").collect()}
+    assert e["b"]._before.v == 2.0 and e["d"]._change == "added" and e["d"]._before is None
+    assert [r.value for r in D.csv_lines(spark.createDataFrame([('x"y', 19.0, ["a", "b,c"])], s)).collect()] == ['"x""y",19,"a; b,c"']
+    assert D.new_rows(now, seen, ["k"]).count() == 3
+
+
+def test_sinks(spark, tmp_path):
+    now = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    empty = now.limit(0)
+    at = dt.datetime(2024, 1, 2, tzinfo=dt.UTC)
+    out = {"path": str(tmp_path / "{name}-{date}.jsonl"), "mode": "changes", "key": "k"}
+    assert D.persist(now, empty, out, "s", at, True) == {"added": 1} and D.persist(now, empty, out, "s", at, False) == {}
+    assert spark.read.json(str(tmp_path / "s-2024-01-02.jsonl")).first()._change == "added"
+    with pytest.raises(SpecError):
+        D.write_rows(now, str(tmp_path / "x.json"), None, "append")
+    assert format_for("a.csv") == "csv" and format_for("a.dat") == "jsonl"
+
+
+def test_infer_is_right_on_its_own_page():
+    for seed in range(1, 8):
+        page = catalogue(4 + seed % 5, seed)
+        spec, n, _ = infer_spec(page, "http://e/", "x")
+        assert spec.row == ".item" and n == 4 + seed % 5 and not violations(parse(page), spec) and len(spec.fields) >= 2
+    table = "<table class=t><thead><tr><th>City</th><th>People</th></tr></thead><tbody>" + "".join(f"<tr><td>Place number {i}</td><td>{i * 1000}</td></tr>" for i in range(1, 6)) + "</tbody></table>"
+    spec, n, _ = infer_spec(table, "http://e/", "x")
+    assert n == 5 and list(spec.fields) == ["city", "people"] and spec.fields["people"].type == "number" and not violations(parse(table), spec)
+    assert infer_spec("<p>nothing", "http://e/", "x") is None
+
+
+def test_repair():
+    archive = [("2024-01-01", parse(catalogue()))]
+    moved = repair(SPEC, parse(catalogue(cost='<b data-testid="cost-value">{}</b>', scale=1.1)), archive)
+    assert moved.patched.fields["price"].selector == '.cost, [data-testid="cost-value"]'
+    renamed = repair(SPEC, parse(catalogue(row_class="plan-card")), archive)
+    assert renamed.patched.row == ".item, .plan-card"
+    gone = repair(SPEC, parse(catalogue(cost="", stars=True)), archive)
+    assert gone.patched is None and gone.unhealed == ["price"]
+    broken = lambda *a: (_ for _ in ()).throw(RuntimeError())
+    assert repair(SPEC, parse(catalogue(cost="", stars=True)), archive, broken).unhealed == ["price"]
+    assert union_selector("a, b", "b") == "a, b" and union_selector(None, "x") == "x"
+    assert run_demo() == 0
+
+
+def test_scrape_heals(spark):
+    got = api.scrape(spark, SPEC, html=catalogue(4, 2, cost='<b data-testid="cost-value">{}</b>'), archive=[("2024-01-01", catalogue(4))])
+    assert got.ok and got.repair.fixes and got.rows.count() == 4
+    assert "cost-value" in api.render_repair(got.repair) and api.pr_title("x", got.repair).endswith("of x") and "price" in api.pr_body(got.repair)
+    with pytest.raises(RuntimeError):
+        api.rows(spark, SPEC, html="<p>Access denied")
+    assert api.check(spark, SPEC, allowed=lambda u: False).cause == "DISALLOWED"
+
+
+def test_specs_and_settings():
+    raw = {"name": "n", "url": "http://e/", "row": ".r", "fields": {"a": {"selector": ".a", "type": "list", "minItems": 2}}, "expect": {"rows": {"min": 1}}}
+    assert spec_to_dict(spec_from_dict(raw)) == raw
+    for bad in ({}, {"name": "n", "url": "u", "fields": {}}, raw | {"fields": {"a": {"selector": ".a", "type": "date"}}}, raw | {"output": {"path": "x.json", "mode": "append"}}):
+        with pytest.raises(SpecError):
+            spec_from_dict(bad)
+    assert parse_duration("2h") == 7200 and format_duration(900) == "15m" and format_duration(45) == "45s"
+
+
+def test_web(tmp_path):
+    pages = {"u1": Fetched(200, "http://e/u1", '<a class=n href="u2">', 0), "http://e/u2": Fetched(200, "http://e/u2", '<a class=n href="u1x">', 0), "http://e/u1x": Fetched(404, "http://e/u1x", "", 0)}
+    assert [f.status for f in paginate("u1", {"next": ".n"}, pages.__getitem__)] == [200, 200, 404]
+    asked = []
+    paginate("", {"template": "p{page}", "maxPages": 3}, lambda u: asked.append(u) or Fetched(200, u, "", 0))
+    assert asked == ["p1", "p2", "p3"]
+    r = parse_robots("User-agent: *\nDisallow: /a\n\nUser-agent: weft\nuser-agent: x\nDisallow: /b\nAllow: /b/c\nCrawl-delay: 2 # c", "Weftline/1")
+    assert r.disallow == ["/b"] and r.allow == ["/b/c"] and r.crawl_delay == 2
+    assert save_fixture(str(tmp_path), "s", "x", "2024-01-01").name == "2024-01-01.html" and save_fixture(str(tmp_path), "s", "x", "2024-01-01").name == "2024-01-01-2.html"
+
+
+def result(spec, ts, ok, cause="OK", unhealed=(), healed=(), drift=()):
+    return (spec, ts, ok, cause, list(healed), list(unhealed), list(drift))
+
+
+CYCLE = [result("s", "1", True), result("s", "2", False, "LAYOUT_CHANGE", ["price"]), result("s", "3", False, "LAYOUT_CHANGE", ["price"]), result("s", "4", False, "LAYOUT_CHANGE", ["name", "price"]), result("s", "5", True), result("t", "1", True, drift=["price/KIND_SHIFT"])]
+
+
+def test_watch(spark, tmp_path):
+    df = spark.createDataFrame(CYCLE, RESULT)
+    want = [("s", "2", "unrepaired"), ("s", "4", "unrepaired"), ("s", "5", "recovered"), ("t", "1", "drift")]
+    assert sorted((r.spec, r.ts, r.event) for r in watch_fold(df).collect()) == want
+    assert [cooldown_for(n, "BLOCKED") for n in (1, 2, 3, 9)] == [2, 4, 8, 8] and [cooldown_for(n, "HTTP_ERROR") for n in (3, 4, 5, 9)] == [0, 1, 2, 4]
+    s, e = advance(State(cooldown=2), {"spec": "s", "ts": "9", "ok": True, "cause": "OK"})
+    assert s.cooldown == 1 and e is None
+
+
+def test_notify_never_fails(tmp_path):
+    def bad(e):
+        raise OSError("down")
+
+    seen = []
+    out = dispatch({"spec": "s", "event": "broken"}, [("bad", bad), ("ok", seen.append)])
+    assert out[0][1] == "OSError: down" and out[1][1] is None and seen
+
+
+def test_doctor_and_cli(spark, tmp_path, monkeypatch, capsys):
+    from weftline import cli
+
+    found = api.doctor([SPEC], Settings(), str(tmp_path))
+    assert ("error", "catalogue", "no archived page: nothing can be repaired") in found
+    (tmp_path / "catalogue.json").write_text(json.dumps(spec_to_dict(SPEC)))
+    (tmp_path / "live.html").write_text(catalogue(4))
+    monkeypatch.setattr(cli, "get_spark", lambda: spark)
+    assert cli.main(["check", str(tmp_path / "catalogue.json"), "--html", str(tmp_path / "live.html")]) == 0
+    assert cli.main(["init", "http://e/", "--html", str(tmp_path / "live.html")]) == 0 and '"row": ".item"' in capsys.readouterr().out
+    assert cli.main(["check", str(tmp_path / "none.json")]) == 2
+
+
+def test_entry_registers_everything(spark):
+    import __spark_entry__ as E
+
+    assert E.entry(spark).count() > 0
+    assert set(E.oracle_sql()) <= set(E.queries()) and len(E.queries()) > 20
