@@ -367,8 +367,7 @@ def group_links(members: DataFrame, sets: DataFrame, every_pair: bool, parts: in
 
 def sifted(members: DataFrame, sets: DataFrame, every_pair: bool, parts: int) -> DataFrame:
     """Groups (g, fp, label), each once, of sets that may be linked across labels by their bitmaps."""
-    bits = sets.select("fp", "bits", F.floor(F.octet_length("tokens") / 8).alias("n"))
-    return dealt_tasks(members, bits, every_pair, parts).mapInArrow(_sift, "g long, fp long, label long").distinct()
+    return dealt_tasks(members, bits_of(sets), every_pair, parts).mapInArrow(_sift, "g long, fp long, label long").distinct()
 
 
 def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> DataFrame:
@@ -388,16 +387,17 @@ def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> Dat
     small = tagged.join(large, "label", "left_anti")
     mixed = small.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("k"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("who")).filter("a != z")
     once = mixed.groupBy("k", "who").agg(F.min("g").alias("g")).select("g")
-    second = group_links(write_table(sifted(small.join(once, "g").select("g", "fp", "label"), sets, True, parts), "sifted"), sets, True, parts)
+    near = sifted(small.join(once, "g").select("g", "fp", "label"), sets, True, parts)
     # A set that shares a key with a large component is weighed against all of it, once.
     spots = tagged.join(large, "label").select("g", F.col("label").alias("whole")).distinct()
     guests = tagged.join(spots, "g").filter("label != whole").select("whole", "fp", "label").distinct()
-    third = large_links(write_table(guests, "guests"), labels, sets, parts)
-    return components(first.unionByName(write_table(second.unionByName(third), "links")))
+    far = large_groups(write_table(guests, "guests"), labels, sets, parts)
+    second = group_links(write_table(near.unionByName(far), "sifted"), sets, True, parts)
+    return components(first.unionByName(write_table(second, "links")))
 
 
-def large_links(guests: DataFrame, labels: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Links between ``guests`` (whole, fp, label) and the members of the large component ``whole``, block by block on both sides."""
+def large_groups(guests: DataFrame, labels: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Groups of ``guests`` (whole, fp, label) and members of the large component ``whole`` that bitmaps cannot tell apart, block by block on both sides."""
     calls = guests.groupBy("whole").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("far"))
     homes = labels.join(calls, labels["label"] == calls["whole"]).select("whole", F.col("node").alias("fp"), "label", "far")
     near = homes.groupBy("whole").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("near"))
@@ -406,8 +406,12 @@ def large_links(guests: DataFrame, labels: DataFrame, sets: DataFrame, parts: in
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = homes.join(near, "whole").select("whole", "fp", "label", spot("near").alias("i"), every("far").alias("j")).select(task("i", "j").alias("task"), F.lit(0).alias("side"), "fp", "label")
     right = guests.join(calls, "whole").join(near, "whole").select("whole", "fp", "label", spot("far").alias("j"), every("near").alias("i")).select(task("i", "j").alias("task"), F.lit(1).alias("side"), "fp", "label")
-    dealt = left.unionByName(right).join(sets.select("fp", "tokens"), "fp").repartition(parts, "task").sortWithinPartitions("task", "side", "fp")
-    return dealt.mapInArrow(_walk, "u long, v long")
+    dealt = left.unionByName(right).join(bits_of(sets), "fp").repartition(parts, "task").sortWithinPartitions("task", "side", "fp")
+    return dealt.mapInArrow(_sift, "g long, fp long, label long").distinct()
+
+
+def bits_of(sets: DataFrame) -> DataFrame:
+    return sets.select("fp", "bits", F.floor(F.octet_length("tokens") / 8).alias("n"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
