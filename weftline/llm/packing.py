@@ -17,6 +17,7 @@ repeated rows are packed once each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -47,12 +48,22 @@ class ChunkTokenizer:
         self.tokenizer.no_padding()
         self.memo: dict[str, bytes] = {}
 
+    #: A stop or comma between a letter and white space: a token of its own for this vocabulary's pattern.
+    STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
+
+    def chunks(self, text: str) -> list[str]:
+        """ASCII texts in lower case, with stops and commas apart, give far fewer distinct chunks for the same ids."""
+        if text.isascii():
+            text = self.STOP.sub(r" \1", text.lower())
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [[c for c in t.split(" ") if c] for t in texts]
+        split = [self.chunks(t) for t in texts]
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        missing = list({c for s in split for c in s if c not in memo})
+        memo.setdefault("", b"")
+        missing = list({c for s in split for c in s}.difference(memo))
         for at in range(0, len(missing), 20_000):
             some = missing[at : at + 20_000]
             got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
@@ -66,7 +77,7 @@ class ChunkTokenizer:
             ends = np.cumsum(np.bincount(owner, minlength=len(some)))
             for c, a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
                 memo[c] = ids[a:b].tobytes()
-        return [np.frombuffer(b"".join([memo[c] for c in s]), "<u4") for s in split]
+        return [np.frombuffer(b"".join(map(memo.__getitem__, s)), "<u4") for s in split]
 
 
 @lru_cache(maxsize=2)
