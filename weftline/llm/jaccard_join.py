@@ -227,15 +227,15 @@ def _shared_in_buckets(batches):
         yield got
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The planner's estimate of the input, which for files is their size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of all texts, counted: a planner's estimate may be off by any factor."""
+    return df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
 def classes_and_candidates(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(a row per text: key, n, fp), (a row per class: fp, n, rep), (remaining classes: fp, n, rep, hs: keys, rarest first)."""
     spark = df.sparkSession
-    size = min(input_bytes(df), 1 << 50)
+    size = text_bytes(df, text)
     buckets = 1 << max(10, min(20, int(size >> 22).bit_length()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets // 4, int(size >> 24) + 1))
     schema = T.StructType([df.schema[key], *(f for f in FIRST if f.name != "row")])
