@@ -34,7 +34,7 @@ CAPACITY = 4096
 END_ID = 1
 GRID = 4
 NNLS_STEPS = 1500
-MEMO = 250_000
+MEMO = 500_000
 
 
 class ChunkTokenizer:
@@ -47,36 +47,59 @@ class ChunkTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
-    #: A stop or comma between a letter and white space: a token of its own for this vocabulary's pattern.
-    STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
+    #: Marks between a letter and white space: a token of its own for this vocabulary's pattern.
+    MARKS = re.compile(r"(?<=[a-zß-öø-ÿ])([.,!?;:&%#*$|<>]+)(?=[ \n]|$)")
+    LATIN = re.compile(r"[\x00-\xff]*")
 
     def chunks(self, text: str) -> list[str]:
-        """ASCII texts in lower case, with stops and commas apart, give far fewer distinct chunks for the same ids."""
-        if text.isascii():
-            text = self.STOP.sub(r" \1", text.lower())
+        """Latin-1 texts in lower case, with marks after words apart, give far fewer distinct chunks for the same ids.
+
+        Texts that may hold a special token, which must be read before case is folded, stay as they are.
+        """
+        if (text.isascii() or self.LATIN.fullmatch(text)) and "<|" not in text:
+            text = self.MARKS.sub(r" \1", text.lower())
         return text.replace("\n", " ").split(" ")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.chunks(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        memo.setdefault("", b"")
-        missing = list({c for s in split for c in s}.difference(memo))
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
+    def _encode_words(self, words: list[str]) -> list[str]:
+        """Words of letters, joined: each ends with an id that ends a word.  Returns those not told apart this way."""
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):
+                return words[at:]
+            packed, bounds = ids.tobytes(), (4 * ends).tolist()
+            self.memo.update(zip(some, map(packed.__getitem__, map(slice, [0, *bounds[:-1]], bounds)), strict=True))
+        return []
+
+    def _encode_chunks(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 20_000):
+            some = chunks[at : at + 20_000]
             got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             owner = np.array([-1 if x is None else x for x in got.word_ids], np.int64)
             ids = np.array(got.ids, "<u4")
             # A special token inside a text belongs to no word for the library.
             if (owner < 0).any():
                 for c in some:
-                    memo[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+                    self.memo[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
             ends = np.cumsum(np.bincount(owner, minlength=len(some)))
             for c, a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
-                memo[c] = ids[a:b].tobytes()
+                self.memo[c] = ids[a:b].tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.chunks(t) for t in texts]
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        memo.setdefault("", b"")
+        missing = set().union(*split).difference(memo)
+        words = [c for c in missing if c.isalpha() and self.LATIN.fullmatch(c)]
+        self._encode_chunks([*missing.difference(words), *self._encode_words(words)])
         return [np.frombuffer(b"".join(map(memo.__getitem__, s)), "<u4") for s in split]
 
 
