@@ -284,3 +284,21 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r.doc_id for r in out}
     clean = {i for i in range(240) if i % 3 and i % 5}
     assert ids <= {i for i in range(240) if i % 5} and len(ids & clean) >= 0.97 * len(clean) and not any(i >= 10_000 for i in ids)
+
+
+def test_packing_ids_are_the_librarys():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from weftline.llm import packing
+
+    path = packing.default_vocabulary()
+    whole, ours = Tokenizer.from_file(path), packing.ChunkTokenizer(path)
+    whole.no_truncation()
+    whole.no_padding()
+    rnd = random.Random(4)
+    parts = list("abzABZéÉßÿÄ×÷ªºµ'.,!?;:&%#*$|<> \n\t\x85\xa0019İΣς你_-") + ["<|endoftext|>", "<|ENDOFTEXT|>", "'s", "don't"]
+    texts = ["", " ", "É!!\n", *("".join(rnd.choices(parts, k=rnd.randint(0, 25))) for _ in range(3000))]
+    for text, got in zip(texts, ours.encode(texts), strict=True):
+        assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, text
