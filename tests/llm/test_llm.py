@@ -44,6 +44,20 @@ def test_main_text():
         assert len(set(got) & set(want)) >= 0.6 * len(want)
 
 
+def test_main_text_keeps_every_marked_word_and_no_other():
+    for html, mark in main_text.labelled_pages(150, seed=78):
+        want = [w for w in re.sub(r"<[^>]*>", " ", html).split() if w.startswith(mark)]
+        assert main_text.main_text(html).split() == want, html
+    body = "<p>Some <a href=/y>linked words</a> and <ins>added ones</ins> of the text.</p><p>It ends in a line with its <a href=/z>last link</a></p>"
+    text = "Some linked words and added ones of the text. It ends in a line with its last link"
+    for page in (f"<body>{body}<footer>us</footer></body>", f"<body><article>{body}<ins class=adsbygoogle>Buy</ins></article></body>"):
+        assert main_text.main_text(page) == text
+    for holder in ("main", "div id=content", "div class=entry", "article"):
+        for head in ("header", "header class=page-header"):
+            page = f"<body><header>Site</header><{holder}><{head}><h1>Big title</h1></header>{body}</{holder.split()[0]}></body>"
+            assert main_text.main_text(page) == "Big title " + text, page
+
+
 def test_best_region_is_the_best():
     rnd = random.Random(3)
     for _ in range(200):

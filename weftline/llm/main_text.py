@@ -51,6 +51,9 @@ CLOSES = {
 LIMITS = frozenset("ul ol dl table body html article section div main nav aside".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
+#: Parts of a text, never the holder of one.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure figcaption".split())
+
 WORD_LIMIT = 4.0
 TRAINING_PAGES = 400
 
@@ -163,22 +166,25 @@ class Weights:
     def weigh(self, e: Element) -> None:
         """An element's own weight, whether it is cut, and what its words score."""
         own = [self.of.get(f, 0.0) for f in e.features]
-        e.cut = e.hidden or min(own, default=0) < -2.5 and not any(w > 2 for w in own[1:])
-        if e.tag == "header" and e.parent and self._within(e.parent, "article") and not any(w < -2.5 for w in own[1:]):
-            e.cut = e.hidden  # an article's own heading
+        # A link or an edit inside a line is no part of its own: only its names can cut it.
+        judged = own[1:] if e.tag in INLINE else own
+        e.cut = e.hidden or min(judged, default=0) < -2.5 and not any(w > 2 for w in own[1:])
+        if e.tag == "header" and self._held(e.parent) and not any(w < -2.5 for f, w in zip(e.features[1:], own[1:]) if f != "name:header"):
+            e.cut = e.hidden  # the heading of an article or of what holds one
         if e.parent:
             e.cut |= e.parent.cut
             e.weight = max(-WORD_LIMIT, min(WORD_LIMIT, e.parent.weight + sum(own)))
         if e.cut:
             e.weight = -WORD_LIMIT
 
-    @staticmethod
-    def _within(e: Element | None, tag: str) -> bool:
-        while e:
-            if e.tag == tag:
-                return True
+    def holds(self, e: Element) -> bool:
+        """Whether ``e`` holds an article, by its tag or by a name."""
+        return e.tag in ("article", "main") or any(self.of.get(f, 0.0) > 1 for f in e.features[1:])
+
+    def _held(self, e: Element | None) -> bool:
+        while e and not self.holds(e):
             e = e.parent
-        return False
+        return e is not None
 
 
 def best_region(scores: list[float]) -> tuple[int, int] | None:
@@ -231,15 +237,18 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
             hold = e if hold is None else common(hold, e)
     if hold is None:
         return ""
-    while hold.tag in INLINE or hold.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote"):
+    while hold.tag in INLINE or hold.tag in TEXT_BLOCKS:
         hold = hold.parent
-    x = hold
-    while x.parent:
-        if x.tag == "article" and not x.cut:
-            hold = x
-            break
-        x = x.parent
+    around = []
+    while hold.parent:
+        around.append(hold)
+        hold = hold.parent
+    around = [x for x in around if not x.cut]
+    named = [x for x in around if x.tag not in ("body", "html") and weights.holds(x)]
+    hold = next((x for x in around if x.tag == "article"), (named or around or [hold])[0])
     if hold.tag in ("body", "html", "#page"):
+        # Whole blocks: a link at the end of a line scores low, but belongs to the line.
+        first, last = block_end(items, first, -1), block_end(items, last, 1)
         span = range(first, last + 1)
     else:
         span = range(len(items))
@@ -256,6 +265,13 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
     return " ".join("".join(out).split())
 
 
+def block_end(items: list[tuple], at: int, step: int) -> int:
+    """The last index from ``at`` on, in direction ``step``, that lies in the same block of text."""
+    while 0 <= at + step < len(items) and (items[at + step][0] == "text" or items[at + step][1].tag in INLINE) and (items[at][0] == "text" or items[at][1].tag in INLINE):
+        at += step
+    return at
+
+
 def common(a: Element, b: Element) -> Element:
     while a is not b:
         if a.depth >= b.depth:
