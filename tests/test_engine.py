@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from weftline.plans import api
 from weftline.plans.demo import SPEC, catalogue, run_demo
 from weftline.sources.html import parse
 from weftline.sources.specs import Field, Settings, Spec, SpecError, format_duration, format_for, parse_duration, spec_from_dict, spec_to_dict
-from weftline.sources.web import Fetched, paginate, parse_robots, save_fixture
+from weftline.sources.web import Fetched, paginate, parse_robots, robots_gate, save_fixture
 from weftline.streaming.notify import dispatch
 from weftline.streaming.watch import RESULT, State, advance, cooldown_for, run_watch, watch_fold
 
@@ -128,6 +129,35 @@ def test_scrape_heals(spark):
     assert api.check(spark, SPEC, allowed=lambda u: False).cause == "DISALLOWED"
 
 
+MOVED = dict(cost='<b data-testid="cost-value">{}</b>')
+
+
+def test_scrape_heals_paginated_targets(spark):
+    spec = replace(SPEC, url="http://e/1", paginate={"template": "http://e/{page}", "maxPages": 3})
+    site = {"http://e/1": catalogue(4, 2, **MOVED), "http://e/2": catalogue(3, 3, **MOVED)}
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        return Fetched(200 if url in site else 404, url, site.get(url, ""), 0)
+
+    got = api.scrape(spark, spec, fetch=fetch, archive=[("2024-01-01", catalogue(4))])
+    assert got.ok and got.repair.fixes and got.rows.count() == 7 and len(got.pages) == 3
+    assert asked == ["http://e/1", "http://e/2", "http://e/3"]
+
+
+def test_scrape_never_repairs_against_a_redirect_or_a_forbidden_page(spark):
+    archive = [("2024-01-01", catalogue(4))]
+    away = lambda url: Fetched(200, "https://login.example/", catalogue(4, 2, **MOVED), 0)
+    got = api.scrape(spark, SPEC, fetch=away, archive=archive)
+    assert got.cause == "REDIRECTED" and got.repair is None
+    asked = []
+    got = api.scrape(spark, SPEC, fetch=lambda u: asked.append(u) or away(u), archive=archive, allowed=lambda u: False)
+    assert got.cause == "DISALLOWED" and not asked
+    robots = robots_gate(lambda u: Fetched(200, u, "User-agent: *\nDisallow: /a*b$\nDisallow: /c\nAllow: /c/d", 0))
+    assert [robots(f"http://e{p}") for p in ("/", "", "/axb", "/axbx", "/c/x", "/c/d")] == [True, True, False, True, False, True]
+
+
 def test_specs_and_settings():
     raw = {"name": "n", "url": "http://e/", "row": ".r", "fields": {"a": {"selector": ".a", "type": "list", "minItems": 2}}, "expect": {"rows": {"min": 1}}}
     assert spec_to_dict(spec_from_dict(raw)) == raw

@@ -17,7 +17,7 @@ from weftline.session import get_spark
 from weftline.sources.html import parse
 from weftline.sources.selectors import SelectorError
 from weftline.sources.specs import SpecError, load_settings, load_spec, load_specs, patch_spec_file, spec_to_dict
-from weftline.sources.web import http_fetch, load_fixtures, save_fixture
+from weftline.sources.web import http_fetch, load_fixtures, robots_gate, save_fixture
 from weftline.streaming.notify import dispatch, notifiers
 from weftline.streaming.watch import advance
 
@@ -91,7 +91,7 @@ def _run(args) -> int:
                     patch_spec_file(args.spec, v.candidate.target, v.proposed)
         return int(bool(r.unhealed))
     spark = get_spark()
-    c = api.check(spark, spec, Path(args.html).read_text() if args.html else None, archive=archive)
+    c = api.check(spark, spec, Path(args.html).read_text() if args.html else None, allowed=robots_gate(), archive=archive)
     if args.command == "extract" and c.rows is not None:
         for line in c.rows.toJSON().toLocalIterator():
             print(line)
@@ -111,8 +111,9 @@ def _watch_once(args) -> int:
         state = {}
     settings, spark, failed = load_settings("."), get_spark(), 0
     channels = notifiers(settings.notify or [{"type": "console"}])
+    allowed = robots_gate()
     for spec in load_specs(args.specs):
-        c = api.scrape(spark, spec, archive=load_fixtures(args.fixtures, spec.name), heal=settings.heal != "off")
+        c = api.scrape(spark, spec, archive=load_fixtures(args.fixtures, spec.name), heal=settings.heal != "off", allowed=allowed)
         r = c.repair
         result = {
             "spec": spec.name, "ts": dt.datetime.now(dt.UTC).isoformat(), "ok": c.ok, "cause": c.cause,

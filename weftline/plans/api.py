@@ -41,19 +41,40 @@ class Check:
     drift: list[dict] = field(default_factory=list)
     repair: Repair | None = None
     n_rows: int = 0
+    pages: list[Fetched] = field(default_factory=list)
 
     @property
     def ok(self) -> bool:
         return self.cause == "OK"
 
 
-def check(spark: SparkSession, spec: Spec, html: str | None = None, fetch: Fetcher = http_fetch, allowed: Callable[[str], bool] | None = None, history: DataFrame | None = None, archive: list[tuple[str, str]] = (), ts: str | None = None) -> Check:
-    """Fetch (or take ``html``), extract, hold to the contract, classify, compare with history."""
-    if allowed is not None and html is None and not allowed(spec.url):
-        return Check(spec, "DISALLOWED", "robots.txt does not allow it", None)
+class Disallowed(RuntimeError):
+    pass
+
+
+def fetch_pages(spec: Spec, fetch: Fetcher = http_fetch, allowed: Callable[[str], bool] | None = None) -> list[Fetched]:
+    """All pages of a target; each URL is held to the robots test before it is asked."""
+
+    def get(url: str) -> Fetched:
+        if allowed is not None and not allowed(url):
+            raise Disallowed(f"robots.txt does not allow {url}")
+        return fetch(url)
+
+    return paginate(spec.url, spec.paginate, get)
+
+
+def check(
+    spark: SparkSession, spec: Spec, html: str | None = None, fetch: Fetcher = http_fetch, allowed: Callable[[str], bool] | None = None, history: DataFrame | None = None,
+    archive: list[tuple[str, str]] = (), ts: str | None = None, pages: list[Fetched] | None = None,
+) -> Check:
+    """Fetch (or take ``html`` or fetched ``pages``), extract, hold to the contract, classify, compare with history."""
     try:
         auth_headers(spec.auth)
-        pages = [Fetched(200, spec.url, html, 0)] if html is not None else paginate(spec.url, spec.paginate, fetch)
+        if html is not None:
+            pages = [Fetched(200, spec.url, html, 0)]
+        pages = pages or fetch_pages(spec, fetch, allowed)
+    except Disallowed as e:
+        return Check(spec, "DISALLOWED", str(e), None)
     except AuthError as e:
         return Check(spec, "HTTP_ERROR", str(e), None)
     ts = ts or dt.datetime.now(dt.UTC).isoformat()
@@ -66,7 +87,7 @@ def check(spark: SparkSession, spec: Spec, html: str | None = None, fetch: Fetch
     )
     judged = X.with_violations(one, spec).withColumn("cause", X.cause_column(F.lit(spec.url), F.col("status"), F.col("final_url"))).cache()
     r = judged.select("cause", F.size("found").alias("n"), "violations", "status", "final_url").first()
-    out = Check(spec, r["cause"], f"{r['n']} rows, {len(r['violations'])} violations, HTTP {r['status']}", X.rows(judged.select("found"), spec), [v.asDict() for v in r["violations"]], n_rows=r["n"])
+    out = Check(spec, r["cause"], f"{r['n']} rows, {len(r['violations'])} violations, HTTP {r['status']}", X.rows(judged.select("found"), spec), [v.asDict() for v in r["violations"]], n_rows=r["n"], pages=pages)
     if out.ok and (history is not None or archive):
         now = run_record(judged.select(F.lit(ts).alias("ts"), "found"), spec)
         seeds = None
@@ -87,18 +108,15 @@ def run_record(scanned: DataFrame, spec: Spec) -> DataFrame:
 def scrape(spark: SparkSession, spec: Spec | dict | str, html: str | None = None, archive: list[tuple[str, str]] = (), heal: bool = True, model: Model | None = None, fetch: Fetcher = http_fetch, **options) -> Check:
     """A check; if the layout changed and archived pages are there, a proved repair and a check with it."""
     spec = resolve_spec(spec)
-    page = html
-    if page is None:
-        got = paginate(spec.url, spec.paginate, fetch)
-        page = got[0].html if len(got) == 1 and got[0].status == 200 else None
-    first = check(spark, spec, page, fetch, archive=archive, **options)
-    if first.cause != "LAYOUT_CHANGE" or not heal or page is None:
+    first = check(spark, spec, html, fetch, archive=archive, **options)
+    if first.cause != "LAYOUT_CHANGE" or not heal:
         return first
-    fixed = repair(spec, parse(page), [(s, parse(h)) for s, h in archive], model)
+    # The first page shows the new layout, however many there are.
+    fixed = repair(spec, parse(first.pages[0].html), [(s, parse(h)) for s, h in archive], model)
     if fixed.patched is None:
         first.repair = fixed
         return first
-    second = check(spark, fixed.patched, page, fetch, archive=archive, **options)
+    second = check(spark, fixed.patched, archive=archive, **(options | {"pages": first.pages}))
     second.repair = fixed
     return second
 

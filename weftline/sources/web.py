@@ -179,6 +179,32 @@ def parse_robots(text: str, agent: str = USER_AGENT) -> Rules:
     return Rules(longest(chosen.allow), longest(chosen.disallow), chosen.crawl_delay)
 
 
+def path_allowed(rules: Rules, path: str) -> bool:
+    """The longest matching rule decides; allow wins at equal length."""
+
+    def longest(found: list[str]) -> int:
+        quoted = ((r, re.escape(r.removesuffix("$")).replace(r"\*", ".*") + ("$" if r.endswith("$") else "")) for r in found)
+        return max((len(r) for r, q in quoted if re.match(q, path)), default=-1)
+
+    no = longest(rules.disallow)
+    return no == -1 or longest(rules.allow) >= no
+
+
+def robots_gate(fetch: Fetcher = http_fetch, agent: str = USER_AGENT) -> Callable[[str], bool]:
+    """A test of URLs by their origin's robots.txt, which is asked once; whatever is not 2xx allows all."""
+    known: dict[str, Rules] = {}
+
+    def allowed(url: str) -> bool:
+        u = urlsplit(url)
+        origin = f"{u.scheme}://{u.netloc}"
+        if origin not in known:
+            got = fetch(f"{origin}/robots.txt")
+            known[origin] = parse_robots(got.html, agent) if 200 <= got.status < 300 else Rules()
+        return path_allowed(known[origin], unquote(u.path or "/") + (f"?{u.query}" if u.query else ""))
+
+    return allowed
+
+
 def rules_table(spark: SparkSession, urls: DataFrame, fetch: Fetcher, agent: str = USER_AGENT) -> DataFrame:
     """origin, allow, disallow, crawl_delay: each origin is asked once; whatever is not 2xx allows all."""
     origin = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)", 1)
