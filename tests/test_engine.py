@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import urllib.request
 from dataclasses import replace
 
 import pytest
@@ -12,6 +13,7 @@ from weftline.operators.infer import infer_spec
 from weftline.operators.repair import repair, union_selector, violations
 from weftline.plans import api
 from weftline.plans.demo import SPEC, catalogue, run_demo
+from weftline.sources import web
 from weftline.sources.html import parse
 from weftline.sources.specs import Field, Settings, Spec, SpecError, format_duration, format_for, parse_duration, spec_from_dict, spec_to_dict
 from weftline.sources.web import Fetched, paginate, parse_robots, robots_gate, save_fixture
@@ -158,6 +160,48 @@ def test_scrape_never_repairs_against_a_redirect_or_a_forbidden_page(spark):
     assert [robots(f"http://e{p}") for p in ("/", "", "/axb", "/axbx", "/c/x", "/c/d")] == [True, True, False, True, False, True]
 
 
+def test_auth_headers_reach_every_fetch(spark, monkeypatch):
+    monkeypatch.setenv("WEFT_TOKEN", "s3cret")
+    spec = replace(SPEC, url="http://e/1", auth={"headers": {"X-Token": "WEFT_TOKEN"}}, paginate={"template": "http://e/{page}", "maxPages": 2})
+    asked = []
+    got = api.check(spark, spec, fetch=lambda u, headers=None: asked.append(headers) or Fetched(200, u, catalogue(3), 0))
+    assert got.ok and asked == [{"X-Token": "s3cret"}] * 2
+    req = urllib.request.Request("http://e/1", headers={"User-Agent": "w", "X-Token": "s3cret"})
+    for to, kept in (("http://e/2", True), ("http://other/2", False)):
+        new = web._Redirect().redirect_request(req, None, 302, "", {}, to)
+        assert new.has_header("X-token") == kept and new.has_header("User-agent")
+
+
+def test_watch_cli_keeps_history_rows_and_rest(spark, tmp_path, monkeypatch):
+    from weftline import cli
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(cli, "get_spark", lambda: spark)
+    monkeypatch.setattr(cli, "robots_gate", lambda: lambda url: True)
+    page, asked = {"html": catalogue(4)}, []
+    fetch = lambda u: asked.append(u) or Fetched(200, u, page["html"], 0)
+    scrape = api.scrape
+    monkeypatch.setattr(api, "scrape", lambda *a, **k: scrape(*a, fetch=fetch, **k))
+    (tmp_path / "specs").mkdir()
+    spec = replace(SPEC, output={"path": str(tmp_path / "out.jsonl"), "mode": "append", "key": "title"})
+    (tmp_path / "specs" / f"{spec.name}.json").write_text(json.dumps(spec_to_dict(spec)))
+    for _ in range(3):
+        assert cli.main(["watch", "specs"]) == 0
+    assert P.load_history(spark, "fixtures", spec.name).select("ts").distinct().count() == 3
+    out = spark.read.json(str(tmp_path / "out.jsonl"))
+    assert out.count() == 4 and set(out.columns) == set(spec.fields)  # the later runs had nothing new
+    history = tmp_path / "fixtures" / spec.name / "history.jsonl"
+    history.write_text("{broken\n" + history.read_text())
+    page["html"] = catalogue(4, scale=2.0)
+    got = api.scrape(spark, spec, output=False, history_root="fixtures")
+    assert {d["code"] for d in got.drift} == {"MAGNITUDE_SHIFT"}
+    assert P.prune_history("fixtures", spec.name, 1) == 3
+    page["html"] = "<p>Access denied"
+    n = len(asked)
+    assert cli.main(["watch", "specs"]) == 1 and len(asked) == n + 1
+    assert cli.main(["watch", "specs", "--cycles", "1"]) == 0 and len(asked) == n + 1  # it rests
+
+
 def test_specs_and_settings():
     raw = {"name": "n", "url": "http://e/", "row": ".r", "fields": {"a": {"selector": ".a", "type": "list", "minItems": 2}}, "expect": {"rows": {"min": 1}}}
     assert spec_to_dict(spec_from_dict(raw)) == raw

@@ -9,6 +9,7 @@ import argparse
 import datetime as dt
 import json
 import sys
+import time
 from pathlib import Path
 
 from weftline.operators.repair import repair
@@ -17,13 +18,13 @@ from weftline.session import get_spark
 from weftline.sources.html import parse
 from weftline.sources.selectors import SelectorError
 from weftline.sources.specs import SpecError, load_settings, load_spec, load_specs, patch_spec_file, spec_to_dict
-from weftline.sources.web import http_fetch, load_fixtures, robots_gate, save_fixture
+from weftline.sources.web import AuthError, http_fetch, load_fixtures, robots_gate, save_fixture
 from weftline.streaming.notify import dispatch, notifiers
 from weftline.streaming.watch import advance
 
 
 def _page(args) -> str:
-    return Path(args.html).read_text() if args.html else http_fetch(load_spec(args.spec).url).html
+    return Path(args.html).read_text() if args.html else api.fetch_pages(load_spec(args.spec), allowed=robots_gate())[0].html
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -34,6 +35,8 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("spec")
         c.add_argument("--html")
         c.add_argument("--fixtures", default="fixtures")
+        c.add_argument("--history", help="folder of run histories; the fixtures' folder if not given")
+        c.add_argument("--record", action="store_true", help="add a passing run to the history")
         c.add_argument("--write", action="store_true")
         c.add_argument("--only")
     c = sub.add_parser("init")
@@ -44,7 +47,9 @@ def main(argv: list[str] | None = None) -> int:
         c = sub.add_parser(name)
         c.add_argument("specs")
         c.add_argument("--fixtures", default="fixtures")
+        c.add_argument("--history")
         c.add_argument("--state", default="watch-state.json")
+        c.add_argument("--cycles", type=int, default=1, help="cycles to watch, an interval apart; 0 is without end")
     sub.add_parser("demo")
     try:
         args = p.parse_args(argv)
@@ -52,6 +57,9 @@ def main(argv: list[str] | None = None) -> int:
         return 2 if e.code else 0
     try:
         return _run(args)
+    except (api.Disallowed, AuthError) as e:
+        print(e, file=sys.stderr)
+        return 1
     except (SpecError, SelectorError, FileNotFoundError, json.JSONDecodeError) as e:
         print(e, file=sys.stderr)
         return 2
@@ -76,7 +84,12 @@ def _run(args) -> int:
 
         return run_demo()
     if args.command == "watch":
-        return _watch_once(args)
+        n, failed = 0, 0
+        while True:
+            failed, n = _watch_once(args), n + 1
+            if n == args.cycles:
+                return failed
+            time.sleep(load_settings(".").interval)
     spec = load_spec(args.spec)
     archive = load_fixtures(args.fixtures, spec.name)
     if args.command == "fixture":
@@ -91,7 +104,11 @@ def _run(args) -> int:
                     patch_spec_file(args.spec, v.candidate.target, v.proposed)
         return int(bool(r.unhealed))
     spark = get_spark()
-    c = api.check(spark, spec, Path(args.html).read_text() if args.html else None, allowed=robots_gate(), archive=archive)
+    html, kept = Path(args.html).read_text() if args.html else None, {"allowed": robots_gate(), "archive": archive, "history_root": args.history or args.fixtures, "record": args.record}
+    if args.command == "extract":
+        c = api.scrape(spark, spec, html, heal=False, state=args.fixtures, **kept)
+    else:
+        c = api.check(spark, spec, html, **kept)
     if args.command == "extract" and c.rows is not None:
         for line in c.rows.toJSON().toLocalIterator():
             print(line)
@@ -113,7 +130,14 @@ def _watch_once(args) -> int:
     channels = notifiers(settings.notify or [{"type": "console"}])
     allowed = robots_gate()
     for spec in load_specs(args.specs):
-        c = api.scrape(spark, spec, archive=load_fixtures(args.fixtures, spec.name), heal=settings.heal != "off", allowed=allowed)
+        resting = state.get(spec.name)
+        if resting and resting.cooldown > 0:
+            state[spec.name], _ = advance(resting, {})
+            continue
+        c = api.scrape(
+            spark, spec, archive=load_fixtures(args.fixtures, spec.name), heal=settings.heal != "off", allowed=allowed,
+            output=settings.output, state=args.fixtures, history_root=args.history or args.fixtures, record=True,
+        )
         r = c.repair
         result = {
             "spec": spec.name, "ts": dt.datetime.now(dt.UTC).isoformat(), "ok": c.ok, "cause": c.cause,

@@ -6,7 +6,10 @@ median, min, max.  Drift compares a run with the runs before it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,6 +58,45 @@ def baseline(history: DataFrame, seeds: DataFrame | None, current_ts: str, limit
     return recent.filter(F.col("ts") != current_ts)
 
 
+RECORD = "ts string, rows long, field string, n long, nulls long, kinds array<struct<first:int,kind:string,n:long>>, median double, min double, max double"
+FIELDS = [c.split(" ", 1)[0] for c in RECORD.split(", ")]
+
+
+def history_path(root: str, name: str) -> Path:
+    return Path(root, name, "history.jsonl")
+
+
+def append_run(root: str, name: str, record: DataFrame) -> None:
+    """One line a run: its profile rows, one a field."""
+    run = [r.asDict(recursive=True) for r in record.select(*FIELDS).collect()]
+    path = history_path(root, name)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with path.open("a") as out:
+        out.write(json.dumps(run) + "\n")
+
+
+def load_history(spark: SparkSession, root: str, name: str, limit: int = 30) -> DataFrame:
+    """Profile rows of the last ``limit`` lines; a corrupt line among them is passed over."""
+    path, found = history_path(root, name), []
+    lines = [x for x in path.read_text().splitlines() if x.strip()] if path.exists() else []
+    for line in lines[-limit:]:
+        try:
+            found += [(r["ts"], r["rows"], r["field"], r["n"], r["nulls"], [(k["first"], k["kind"], k["n"]) for k in r["kinds"] or []], r["median"], r["min"], r["max"]) for r in json.loads(line)]
+        except (json.JSONDecodeError, KeyError, TypeError):
+            continue
+    return spark.createDataFrame(found, RECORD)
+
+
+def prune_history(root: str, name: str, keep: int) -> int:
+    """Keeps the newest ``keep`` lines; how many went."""
+    path = history_path(root, name)
+    lines = [x for x in path.read_text().splitlines() if x.strip()] if path.exists() else []
+    if len(lines) <= keep:
+        return 0
+    path.write_text("".join(x + "\n" for x in lines[len(lines) - keep :]))
+    return len(lines) - keep
+
+
 def detect_drift(base: DataFrame, current: DataFrame, median_shift: float = MEDIAN_SHIFT, row_shift: float = ROW_SHIFT, min_history: int = MIN_HISTORY) -> DataFrame:
     """Findings (field, code, detail) of ``current`` against ``base``.
 

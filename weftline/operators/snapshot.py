@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,8 +103,39 @@ def persist(df: DataFrame, seen: DataFrame, output: dict, name: str, at: dt.date
     counts = {r["change"]: r["n"] for r in c.groupBy("change").agg(F.count("*").alias("n")).collect()}
     events = change_events(df, seen, key, at.isoformat())
     if mode == "append":
-        events = events.filter("_change = 'added'")
+        events = events.filter("_change = 'added'").drop("_change", "_at", "_before")
     if format_for(path, output.get("format")) == "json":
         raise SpecError("a JSON array cannot be appended to")
     write_rows(events, path, output.get("format"), "append")
     return counts
+
+
+def load_seen(root: str, name: str, like: DataFrame) -> DataFrame:
+    """The rows a spec's last written run had, with the columns of ``like``; lines that cannot be read are passed over."""
+    path = Path(root, name, "rows.jsonl")
+    lines = path.read_text().splitlines() if path.exists() else []
+    stored = like.sparkSession.createDataFrame([(x,) for x in lines], "line string")
+    return stored.select(F.from_json("line", like.schema).alias("r")).filter("r is not null").select("r.*")
+
+
+def save_seen(root: str, name: str, now: DataFrame) -> None:
+    """Replaces the store in one step; a spec's rows are few by its contract."""
+    path = Path(root, name, "rows.jsonl")
+    path.parent.mkdir(parents=True, exist_ok=True)
+    new = path.with_suffix(".new")
+    new.write_text("".join(x + "\n" for x in now.toJSON().collect()))
+    new.replace(path)
+
+
+def persist_run(rows: DataFrame, output: dict, name: str, at: dt.datetime, root: str) -> dict[str, int]:
+    """``persist`` of a passing run's rows (with row_index), and the store that the next run is compared with."""
+    now = rows.drop("row_index")
+    if (output.get("mode") or "snapshot") == "snapshot":
+        return persist(now, now.limit(0), output, name, at, True)
+    key = output.get("key")
+    counts = persist(now, load_seen(root, name, now), output, name, at, True)
+    # Of a repeated key the last row counts.
+    keys = [key] if isinstance(key, str) else key
+    last = rows.groupBy(key_of(now.columns, keys).alias("k")).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in now.columns]), "row_index").alias("r"))
+    save_seen(root, name, last.select("r.*"))
+    return counts

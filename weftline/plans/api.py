@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import extract as X
 from weftline.operators import profile as P
+from weftline.operators import snapshot as D
 from weftline.operators.infer import infer_spec
 from weftline.operators.repair import Model, Repair, repair
 from weftline.sources.html import parse
@@ -42,6 +43,7 @@ class Check:
     repair: Repair | None = None
     n_rows: int = 0
     pages: list[Fetched] = field(default_factory=list)
+    written: dict[str, int] = field(default_factory=dict)
 
     @property
     def ok(self) -> bool:
@@ -53,21 +55,25 @@ class Disallowed(RuntimeError):
 
 
 def fetch_pages(spec: Spec, fetch: Fetcher = http_fetch, allowed: Callable[[str], bool] | None = None) -> list[Fetched]:
-    """All pages of a target; each URL is held to the robots test before it is asked."""
+    """All pages of a target, asked with the headers its auth names; each URL is held to the robots test before it is asked."""
+    headers = auth_headers(spec.auth)
 
     def get(url: str) -> Fetched:
         if allowed is not None and not allowed(url):
             raise Disallowed(f"robots.txt does not allow {url}")
-        return fetch(url)
+        return fetch(url, headers=headers) if headers else fetch(url)
 
     return paginate(spec.url, spec.paginate, get)
 
 
 def check(
     spark: SparkSession, spec: Spec, html: str | None = None, fetch: Fetcher = http_fetch, allowed: Callable[[str], bool] | None = None, history: DataFrame | None = None,
-    archive: list[tuple[str, str]] = (), ts: str | None = None, pages: list[Fetched] | None = None,
+    archive: list[tuple[str, str]] = (), ts: str | None = None, pages: list[Fetched] | None = None, history_root: str | None = None, record: bool = False,
 ) -> Check:
-    """Fetch (or take ``html`` or fetched ``pages``), extract, hold to the contract, classify, compare with history."""
+    """Fetch (or take ``html`` or fetched ``pages``), extract, hold to the contract, classify, compare with history.
+
+    The history is given, or kept under ``history_root``; with ``record`` a passing run is added to it.
+    """
     try:
         auth_headers(spec.auth)
         if html is not None:
@@ -88,6 +94,8 @@ def check(
     judged = X.with_violations(one, spec).withColumn("cause", X.cause_column(F.lit(spec.url), F.col("status"), F.col("final_url"))).cache()
     r = judged.select("cause", F.size("found").alias("n"), "violations", "status", "final_url").first()
     out = Check(spec, r["cause"], f"{r['n']} rows, {len(r['violations'])} violations, HTTP {r['status']}", X.rows(judged.select("found"), spec), [v.asDict() for v in r["violations"]], n_rows=r["n"], pages=pages)
+    if history is None and history_root is not None:
+        history = P.load_history(spark, history_root, spec.name)
     if out.ok and (history is not None or archive):
         now = run_record(judged.select(F.lit(ts).alias("ts"), "found"), spec)
         seeds = None
@@ -96,6 +104,8 @@ def check(
             seeds = seed if seeds is None else seeds.unionByName(seed)
         base = P.baseline(history, seeds, ts) if history is not None else seeds
         out.drift = [d.asDict() for d in P.detect_drift(base, now).collect()]
+        if record and history_root is not None:
+            P.append_run(history_root, spec.name, now)
     return out
 
 
@@ -105,9 +115,24 @@ def run_record(scanned: DataFrame, spec: Spec) -> DataFrame:
     return stats.join(scanned.select("ts", F.size("found").alias("rows")), "ts")
 
 
-def scrape(spark: SparkSession, spec: Spec | dict | str, html: str | None = None, archive: list[tuple[str, str]] = (), heal: bool = True, model: Model | None = None, fetch: Fetcher = http_fetch, **options) -> Check:
-    """A check; if the layout changed and archived pages are there, a proved repair and a check with it."""
+def scrape(
+    spark: SparkSession, spec: Spec | dict | str, html: str | None = None, archive: list[tuple[str, str]] = (), heal: bool = True, model: Model | None = None, fetch: Fetcher = http_fetch,
+    output: dict | bool | None = None, state: str = "fixtures", **options,
+) -> Check:
+    """A check; if the layout changed and archived pages are there, a proved repair and a check with it.
+
+    Rows of a passing run are written as the spec's ``output`` says, or the one given (False: not at all);
+    what was seen for it is kept under ``state``.
+    """
     spec = resolve_spec(spec)
+    got = _healed(spark, spec, html, archive, heal, model, fetch, options)
+    to = spec.output if output is None or output is True else output
+    if to and got.ok:
+        got.written = D.persist_run(got.rows, to, spec.name, dt.datetime.now(dt.UTC), state)
+    return got
+
+
+def _healed(spark: SparkSession, spec: Spec, html: str | None, archive: list[tuple[str, str]], heal: bool, model: Model | None, fetch: Fetcher, options: dict) -> Check:
     first = check(spark, spec, html, fetch, archive=archive, **options)
     if first.cause != "LAYOUT_CHANGE" or not heal:
         return first

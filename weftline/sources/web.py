@@ -32,8 +32,8 @@ class Fetched:
     ms: int
 
 
-#: Anything that turns a URL into a page: plain HTTP, a browser, an archive.
-Fetcher = Callable[[str], Fetched]
+#: Anything that turns a URL into a page: plain HTTP, a browser, an archive.  A target with auth calls it as (url, headers=...).
+Fetcher = Callable[..., Fetched]
 
 
 class AuthError(RuntimeError):
@@ -60,12 +60,27 @@ def auth_headers(auth: dict | None, env: dict | None = None) -> dict[str, str]:
     return out
 
 
+class _Redirect(urllib.request.HTTPRedirectHandler):
+    """Headers given by the caller, secrets maybe, do not follow to another origin."""
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        new = super().redirect_request(req, fp, code, msg, headers, newurl)
+        if new is not None and urlsplit(new.full_url)[:2] != urlsplit(req.full_url)[:2]:
+            for name in list(new.headers):
+                if name.lower() != "user-agent":
+                    new.remove_header(name)
+        return new
+
+
+_OPENER = urllib.request.build_opener(_Redirect)
+
+
 def http_fetch(url: str, headers: dict[str, str] | None = None, timeout: float = 20) -> Fetched:
     """Follows redirects; a failure before any response is status 0."""
     began = time.monotonic()
     spent = lambda: int(1000 * (time.monotonic() - began))
     try:
-        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": USER_AGENT} | (headers or {})), timeout=timeout) as r:
+        with _OPENER.open(urllib.request.Request(url, headers={"User-Agent": USER_AGENT} | (headers or {})), timeout=timeout) as r:
             return Fetched(r.status, r.url, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), spent())
     except urllib.error.HTTPError as e:
         return Fetched(e.code, e.url or url, e.read().decode("utf-8", "replace"), spent())
