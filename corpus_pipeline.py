@@ -14,15 +14,15 @@ from weftline.llm.common import table, written
 from weftline.llm.jaccard_join import near_duplicates
 from weftline.llm.packing import pack_documents
 from weftline.llm.quality_rules import quality_cascade
-from weftline.llm.toxicity import THRESHOLD, fit, score_texts
+from weftline.llm.toxicity import fit, score_texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the classifier learns from labels of the documents given."""
+    """Documents that score below their language's threshold; the classifier learns from labels of the documents given."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_texts(docs, model).filter(F.col("score") < THRESHOLD).select(*COLUMNS)
+    return score_texts(docs, model).filter("not toxic").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

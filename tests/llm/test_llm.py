@@ -300,6 +300,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids <= {i for i in range(240) if i % 5} and len(ids & clean) >= 0.97 * len(clean) and not any(i >= 10_000 for i in ids)
 
 
+def test_toxicity_stage_goes_by_the_thresholds_of_languages(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as C
+
+    docs, labels = labelled(spark, 120)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    model = toxicity.fit(docs, labels)
+    model.thresholds = {"en": 2.0, "de": -1.0}
+    monkeypatch.setattr(C, "fit", lambda *a: model)
+    assert {r.doc_id for r in C.toxicity(spark, docs, str(tmp_path)).collect()} == set(range(0, 120, 2))
+
+
 def test_packing_ids_are_the_librarys():
     import random
 
