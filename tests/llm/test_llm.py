@@ -206,6 +206,17 @@ def test_jaccard_join(spark):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_text_without_an_id_links_documents(spark):
+    w = [f"w{i}" for i in range(40)]
+    a, b, c = w, [*w[:-4], "x1", "x2", "x3", "x4"], ["y1", "y2", "y3", "y4", *w[4:-4], "x1", "x2", "x3", "x4"]
+    ends = brute_components([(1, " ".join(a)), (2, " ".join(c))])
+    assert ends[2][1] == 2 and brute_components([(1, " ".join(a)), (2, " ".join(c)), (3, " ".join(b))])[2][1] == 1
+    rows = [(1, " ".join(a)), (2, " ".join(c)), (None, " ".join(b)), (None, " ".join(b)), (None, "one of its own"), (None, None)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(1, 1), (2, 1)]
+    assert sorted(r.component_id or 0 for r in got if r.doc_id is None) == [0, 0, 1, 1]
+
+
 # --- 7
 
 

@@ -25,7 +25,8 @@ meets.  Rows that do not remain are never shuffled with their texts.
 Edge cases: null and empty texts have no shingles and link with nothing (the
 component is their own id); texts of fewer than five words are one shingle;
 equal texts share a class; very long texts are read whole; repeated ids and null
-ids are kept, row for row (a null id never names a component).
+ids are kept, row for row (a null id never names a component, but its text links
+as any other does).
 """
 
 from __future__ import annotations
@@ -238,7 +239,7 @@ def classes_and_candidates(df: DataFrame, key: str, text: str) -> tuple[DataFram
     size = text_bytes(df, text)
     buckets = 1 << max(10, min(20, int(size >> 22).bit_length()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets // 4, int(size >> 24) + 1))
-    schema = T.StructType([df.schema[key], *(f for f in FIRST if f.name != "row")])
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(f for f in FIRST if f.name != "row")])
     path = fresh_path(spark, "shingles")
     arrow_map(df.select(key, text), _first_pass(key, text, buckets, to_arrow_type(df.schema[key].dataType)), schema).write.partitionBy("kind").parquet(path)
     stored = spark.read.schema(schema).parquet(path)
@@ -271,18 +272,26 @@ def classes_and_candidates(df: DataFrame, key: str, text: str) -> tuple[DataFram
 
 
 def remaining_sets(df: DataFrame, left: DataFrame, key: str, text: str) -> DataFrame:
-    """fp, packed shingles and bitmap of the remaining classes; texts are picked by the ids that stand for them."""
-    ids = left.select(F.col("rep").alias(key), "fp")
-    small = left.count() * 64 <= BROADCAST_BYTES
-    picked = df.select(key, text).join(F.broadcast(ids) if small else ids, key)
+    """fp, packed shingles and bitmap of the remaining classes; texts are picked by the ids that stand for them, or where no row has an id, by what they hold."""
+    ids = left.filter("rep is not null").select(F.col("rep").alias(key), "fp")
+    size, named = left.agg(F.count("*"), F.count("rep")).first()
+    picked = df.select(key, text).join(F.broadcast(ids) if named * 64 <= BROADCAST_BYTES else ids, key).select("fp", text)
+    if size > named:
+        picked = picked.unionByName(df.filter(F.col(key).isNull()).select(F.lit(None).cast("long").alias("fp"), text))
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets([x or b"" for x in column(batch, text).cast(pa.binary()).to_pylist()])
         return pa.RecordBatch.from_arrays([column(batch, "fp"), pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())], names=["fp", "check", "tokens", "bits"])
 
     out = arrow_map(picked, pack, "fp long, check long, tokens binary, bits binary")
+    if size > named:
+        out = write_table(out, "packed")
+        loose = out.filter("fp is null").drop("fp").withColumnRenamed("check", "fp").join(left.filter("rep is null").select("fp"), "fp", "left_semi")
+        out = out.filter("check = fp").drop("check").unionByName(loose)
+    else:
+        out = out.filter("check = fp").drop("check")
     # Rows repeated under one id may hold other texts; equal ones are wanted once.
-    return write_table(out.filter("check = fp").drop("check").dropDuplicates(["fp"]), "sets")
+    return write_table(out.dropDuplicates(["fp"]), "sets")
 
 
 def _tasks(batches, names: tuple[str, ...]):
