@@ -67,6 +67,14 @@ def test_drift(spark):
     assert one[0].code == "MAGNITUDE_SHIFT" and "20% up" in one[0].detail and "provisional: only 1 reference observation" in one[0].detail
 
 
+def test_drift_over_time_tells_a_change_of_kind(spark):
+    runs = [("s", *run(f"t{i:02}", kind="currency" if i < 5 else "numeric")) for i in range(12)]
+    h = spark.createDataFrame(runs, "spec string, " + HISTORY)
+    got = P.drift_over_time(h, limit=4).orderBy("ts").collect()
+    assert [(r.ts, r.code, r.change) for r in got] == [("t05", "KIND_SHIFT", None), ("t06", "KIND_SHIFT", None), ("t07", "KIND_SHIFT", None)]
+    assert P.drift_over_time(h.drop("kinds"), limit=4).count() == 0
+
+
 def test_retirement(spark):
     f = spark.createDataFrame([("s", "2020-01-01", False), ("s", "2020-02-01", True), ("s", "2024-01-02", False), ("s", "2024-01-03", False)], "spec string, source string, ok boolean")
     got = {r.source for r in P.retirement(f, F.lit("2024-01-10").cast("timestamp"), keep=2).collect()}

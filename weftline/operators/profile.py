@@ -50,6 +50,13 @@ def dominant_kind(kinds: Column) -> Column:
     return best["kind"]
 
 
+def merged_kinds(kinds: Column) -> Column:
+    """Of (first, kind, n) of several runs, in order of run and first: one of each kind, n added up, in order of first appearance."""
+    names = F.array_distinct(F.transform(kinds, lambda k: k["kind"]))
+    total = lambda name: F.aggregate(kinds, F.lit(0).cast("long"), lambda a, k: a + F.when(k["kind"] == name, k["n"].cast("long")).otherwise(F.lit(0).cast("long")))
+    return F.transform(names, lambda name: F.struct(name.alias("kind"), total(name).alias("n")))
+
+
 def baseline(history: DataFrame, seeds: DataFrame | None, current_ts: str, limit: int = 30, min_history: int = MIN_HISTORY) -> DataFrame:
     """The last ``limit`` runs but the current one, with fixture runs not yet among them while history is short."""
     recent = history.withColumn("_r", F.dense_rank().over(W.orderBy(F.col("ts").desc()))).filter(F.col("_r") <= limit).drop("_r")
@@ -146,7 +153,10 @@ def detect_drift(base: DataFrame, current: DataFrame, median_shift: float = MEDI
 
 
 def drift_over_time(history: DataFrame, limit: int = 30, min_history: int = MIN_HISTORY) -> DataFrame:
-    """Each run of a whole history (spec, ts, field, n, nulls, median) against up to ``limit`` runs before it: spec, ts, field, code, change."""
+    """Each run of a whole history (spec, ts, rows, field, n, nulls, median, and kinds if they are to be compared) against up to ``limit`` runs before it: spec, ts, field, code, change.
+
+    A field that changes kind has no size of change: null.
+    """
     w = W.partitionBy("spec", "field").orderBy("ts").rowsBetween(-limit, -1)
     rate = F.col("nulls") / F.greatest(F.lit(1), F.col("n") + F.col("nulls"))
     h = (
@@ -154,13 +164,19 @@ def drift_over_time(history: DataFrame, limit: int = 30, min_history: int = MIN_
         .withColumn("base_rows", F.percentile("rows", F.lit(0.5)).over(w))
         .withColumn("base_median", F.percentile("median", F.lit(0.5)).over(w))
         .withColumn("base_nulls", F.avg(rate).over(w))
-        .filter(F.col("seen") >= min_history)
     )
+    if "kinds" in history.columns:
+        h = h.withColumn("past_kinds", F.flatten(F.collect_list("kinds").over(w)))
+    h = h.filter(F.col("seen") >= min_history)
     rows_change = F.abs(F.col("rows") - F.col("base_rows")) / F.col("base_rows")
     change = F.abs(F.col("median") - F.col("base_median")) / F.abs(F.col("base_median"))
     one = lambda code, x: F.struct(F.lit(code).alias("code"), x.cast("double").alias("change"))
+    kind_finding = []
+    if "kinds" in history.columns:
+        kind_finding = [F.when(dominant_kind(F.col("kinds")) != dominant_kind(merged_kinds(F.col("past_kinds"))), one("KIND_SHIFT", F.lit(None)))]
     found = F.array_compact(
         F.array(
+            *kind_finding,
             F.when((F.col("base_rows") > 0) & (rows_change > ROW_SHIFT), one("ROW_COUNT_SHIFT", rows_change)),
             F.when((F.col("base_median") != 0) & (change > MEDIAN_SHIFT), one("MAGNITUDE_SHIFT", change)),
             F.when(rate - F.col("base_nulls") > NULL_SHIFT, one("NULL_RATE_SHIFT", rate - F.col("base_nulls"))),

@@ -257,6 +257,27 @@ UNION ALL SELECT spec, ts, field, 'NULL_RATE_SHIFT', round(nulls / greatest(1, n
 """
 
 
+def drift_kind(spark: SparkSession, d: str) -> DataFrame:
+    """One run a day; one field a group of users, whose kinds are the event types."""
+    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("ts"), F.concat(F.lit("g"), F.pmod("user_id", F.lit(20)).cast("string")).alias("field"), F.col("event_type").alias("kind"), "event_id")
+    counted = e.groupBy("ts", "field", "kind").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    h = counted.groupBy("ts", "field").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", "kind", "n"))).alias("kinds"))
+    h = h.select(F.lit("events").alias("spec"), "ts", F.col("n").alias("rows"), "field", "n", F.lit(0).cast("long").alias("nulls"), "kinds", F.lit(None).cast("double").alias("median"))
+    return P.drift_over_time(h, limit=7).filter("code = 'KIND_SHIFT'").select("spec", "ts", "field", "code")
+
+
+DRIFT_KIND = """WITH k AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS ts, 'g' || (user_id % 20) AS field, event_type AS kind, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL
+), r AS (SELECT ts, field, row_number() OVER (PARTITION BY field ORDER BY ts) AS i FROM (SELECT DISTINCT ts, field FROM k)
+), ki AS (SELECT k.*, r.i FROM k JOIN r USING (ts, field)
+), now AS (SELECT field, i, ts, kind FROM ki QUALIFY row_number() OVER (PARTITION BY field, i ORDER BY n DESC, first) = 1
+), past AS (
+  SELECT a.field, a.i, b.kind, sum(b.n) AS n, min(b.i) AS run, arg_min(b.first, b.i) AS first FROM r a JOIN ki b ON a.field = b.field AND b.i BETWEEN a.i - 7 AND a.i - 1 GROUP BY ALL
+), was AS (SELECT field, i, kind FROM past QUALIFY row_number() OVER (PARTITION BY field, i ORDER BY n DESC, run, first) = 1)
+SELECT 'events' AS spec, now.ts, now.field, 'KIND_SHIFT' AS code FROM now JOIN was USING (field, i) WHERE i > 3 AND now.kind <> was.kind
+"""
+
+
 def modal_type(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.pmod("user_id", F.lit(500)).alias("user_group"), "event_type", "event_id")
     return P.modal(e, ["user_group"], "event_type", "event_id")
@@ -422,14 +443,14 @@ QUERIES = {
     "nav_links": nav_links, "link_counts": link_counts, "selector_plan": selector_plan, "element_tags": element_tags, "h1_titles": h1_titles,
     "page_cause": page_cause, "repeated_groups": repeated_groups, "url_targets": url_targets, "robots_allow": robots_allow, "parse_prices": parse_prices,
     "kind_histogram": kind_histogram, "shape_histogram": shape_histogram, "contract_lineitem": contract_lineitem, "profile_by_type": profile_by_type,
-    "drift_daily": drift_daily, "modal_type": modal_type, "latest_history": latest_history, "snapshot_diff": snapshot_diff, "snapshot_events": snapshot_events,
+    "drift_daily": drift_daily, "drift_kind": drift_kind, "modal_type": modal_type, "latest_history": latest_history, "snapshot_diff": snapshot_diff, "snapshot_events": snapshot_events,
     "append_new": append_new, "csv_nation": csv_nation, "topk_lines": topk_lines, "class_jaccard": class_jaccard, "repair_moved_price": repair_moved_price,
     "infer_specs": infer_specs, "watch_fold": watch_fold,
 }
 SQL = {
     "nav_links": NAV_LINKS, "link_counts": LINK_COUNTS, "selector_plan": SELECTOR_PLAN, "element_tags": ELEMENT_TAGS, "h1_titles": H1_TITLES, "page_cause": PAGE_CAUSE,
     "url_targets": URL_TARGETS, "robots_allow": ROBOTS_SQL, "parse_prices": PARSE_PRICES, "kind_histogram": KIND_HISTOGRAM, "shape_histogram": SHAPE_HISTOGRAM,
-    "contract_lineitem": CONTRACT_LINEITEM, "profile_by_type": PROFILE, "drift_daily": DRIFT_DAILY, "modal_type": MODAL_TYPE, "latest_history": LATEST,
+    "contract_lineitem": CONTRACT_LINEITEM, "profile_by_type": PROFILE, "drift_daily": DRIFT_DAILY, "drift_kind": DRIFT_KIND, "modal_type": MODAL_TYPE, "latest_history": LATEST,
     "snapshot_diff": SNAPSHOT_DIFF, "snapshot_events": SNAPSHOT_EVENTS, "append_new": APPEND_NEW, "csv_nation": CSV_NATION, "topk_lines": TOPK, "class_jaccard": CLASS_JACCARD,
     "repair_moved_price": REPAIR_SQL, "infer_specs": INFER_SQL,
 }
