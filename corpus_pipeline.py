@@ -31,11 +31,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row of its smallest id; rows without an id are all kept."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    best = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(best, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    """Of each component the row of its smallest id; rows without an id are all kept.
+
+    A row's key is its id and a hash of the rest: of rows under one id only those go whose text is a near duplicate.
+    """
+    rest = F.xxhash64(*[c for c in COLUMNS if c != "doc_id"])
+    kind = f"struct<absent:boolean,doc_id:{docs.schema['doc_id'].dataType.simpleString()},rest:bigint>"
+    keyed = docs.withColumn("key", F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", rest.alias("rest")).cast(kind))
+    found = near_duplicates(keyed.select("key", "text"), "key")
+    best = found.filter("key = component_id and not key.absent").select("key").distinct()
+    kept = keyed.join(best, "key", "left_semi").dropDuplicates(["key"])
+    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,6 +323,16 @@ def test_toxicity_stage_goes_by_the_thresholds_of_languages(spark, tmp_path, mon
     assert {r.doc_id for r in C.toxicity(spark, docs, str(tmp_path)).collect()} == set(range(0, 120, 2))
 
 
+def test_near_duplicate_stage_keeps_other_texts_under_one_id(spark):
+    import corpus_pipeline as C
+
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(7, a), (3, a), (7, b), (3, a), (8, b + " end"), (None, a), (None, a), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text or "") for r in C.near_duplicate(spark, docs.repartition(4), "").collect()))
+    assert got == sorted([(3, a), (7, b), (0, a), (0, a), (5, ""), (5, "")])
+
+
 def test_packing_ids_are_the_librarys():
     import random
 
