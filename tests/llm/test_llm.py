@@ -146,6 +146,52 @@ def test_shuffle_shards(spark):
     assert shuffle_shards.shuffle_into_shards(docs.limit(0)).count() == 0 and shuffle_shards.shuffle_into_shards(docs.limit(3)).count() == 3
 
 
+def shards_by_hand(docs, places):
+    """doc_id -> (shard, slot): scatter, Fisher-Yates, cut, in plain Python."""
+    num = lambda *what: int(hashlib.md5(":".join(map(str, what)).encode()).hexdigest()[:15], 16)
+    size = sum(len((t or "").encode()) + 64 for _, t in docs)
+    buckets = max(1, -(-size // shuffle_shards.BUCKET_BYTES), -(-len(docs) // shuffle_shards.BUCKET_ROWS))
+    held = [[] for _ in range(buckets)]
+    for (i, _), p in zip(docs, places, strict=True):
+        held[num(11, p) % buckets].append((hashlib.md5(f"11:{p}".encode()).hexdigest(), i))
+    line = []
+    for b, rows in enumerate(held):
+        rows.sort()
+        for k in range(1, len(rows)):
+            j = num(11, b, k) % (k + 1)
+            rows[k], rows[j] = rows[j], rows[k]
+        line += [i for _, i in rows]
+    out, at = {}, 0
+    for shard in range(24):
+        n = len(docs) // 24 + (shard < len(docs) % 24)
+        out |= {i: (shard, k) for k, i in enumerate(line[at : at + n])}
+        at += n
+    return out
+
+
+def test_op4_is_the_same_whatever_the_partitions(spark, tmp_path):
+    docs = [(i, None if i % 50 == 0 else "é word " * (i % 9)) for i in range(5000)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    file = next((tmp_path / "documents.parquet").glob("*.parquet")).name
+    found, before = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for parts in ("4", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            found.append(sorted(map(tuple, shuffle_shards.op4_shuffle_shards(spark, str(tmp_path)).collect())))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1]
+    want, texts = shards_by_hand(docs, [f"{file}:{i}" for i in range(5000)]), dict(docs)
+    for i, size, crc, law, shard, slot, grown in found[0]:
+        raw = (texts[i] or "").encode()
+        assert (size, crc, law, (shard, slot), grown) == (len(raw) + 8, zlib.crc32(raw), "rows", want[i], None)
+    shuffle_shards.write_shards(shuffle_shards.shuffle_into_shards(spark.createDataFrame(docs, "shard long, text string"), 24), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 5000 and back.select("record.shard").distinct().count() == 5000
+
+
 # --- 5
 
 

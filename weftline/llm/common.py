@@ -1,8 +1,10 @@
 """What the operators of this subpackage share.
 
-Rows reach Python only as Arrow batches (``mapInArrow``).  Batches are kept to
-``BATCH_ROWS`` rows so that very long texts cannot fill a worker's memory.
-Intermediate tables go to the folder named by ``spark.checkpoint.dir``.
+Rows reach Python only as Arrow batches (``mapInArrow``).  Spark bounds a batch by
+bytes (``spark.sql.execution.arrow.maxBytesPerBatch``); within a task it is worked
+off in slices of ``BATCH_ROWS`` rows.  No setting of the caller's session is changed.
+Intermediate tables go to the folder named by ``spark.checkpoint.dir``; ``discard``
+deletes those that no later step reads.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BATCH_ROWS = 512
@@ -27,9 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it.
+
+    Only a local master may do without: there driver and executors are one process, and a
+    temporary folder is set.  Anywhere else executors would write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,21 +52,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written``; only for those that nothing still to be run reads."""
+    for t in tables:
+        remove_path(t.sparkSession, t._stored_at)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's own file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
-    """Applies ``fn`` to each Arrow batch of at most ``BATCH_ROWS`` rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Applies ``fn`` to slices of at most ``BATCH_ROWS`` rows of each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        yield from map(fn, slices(batches))
 
     return df.mapInArrow(run, schema)
 
 
+def join_counted(big: DataFrame, small: DataFrame, key: str, rows: str, least: int = 256, parts: int = 4096) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has one row a key and in ``rows`` how many rows of ``big`` hold the key.
+
+    Keys with more than a ``parts``-th of all rows (at most ``parts`` keys, whatever the data) are broadcast, so that
+    none of them goes to one task; the others are shuffled.  ``small`` should be cheap to read again.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) > max(least, total // parts)
+    common = small.filter(hot)
+    return big.join(F.broadcast(common), key).unionByName(big.join(F.broadcast(common.select(key)), key, "left_anti").join(small.filter(~hot), key))
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 of a string column, nulls as empty."""
     col = batch.column(batch.schema.get_field_index(name))

@@ -9,7 +9,7 @@ from weftline.llm.main_text import op1_main_text
 from weftline.llm.packing import op8_packing
 from weftline.llm.quality_model import op10_quality_model
 from weftline.llm.quality_rules import OP2_SQL, op2_quality_rules
-from weftline.llm.shuffle_shards import op4_shuffle_shards
+from weftline.llm.shuffle_shards import OP4_SQL, op4_shuffle_shards
 from weftline.llm.toxicity import op3_toxicity
 from weftline.llm.warc import OP9_SQL, op9_warc
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_quality_model": op10_quality_model,
 }
-SQL = {"op2_quality_rules": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op9_warc": OP9_SQL}
+SQL = {"op2_quality_rules": OP2_SQL, "op4_shuffle_shards": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op9_warc": OP9_SQL}
