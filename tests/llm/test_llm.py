@@ -338,6 +338,29 @@ def test_warc(spark, tmp_path):
     whole = b"".join(gzip.open(p).read() for p in glob.glob(f"{tmp_path}/*.warc.gz"))
     assert whole.count(b"WARC/1.1\r\n") == 30  # any gzip reader can read them
     warc.write_archives(df.limit(0), str(tmp_path / "none"))
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_warc_overwrite_small_payloads_and_other_producers(spark, tmp_path, monkeypatch):
+    rows = [(None, "u", "same long text"), (7, "u", "same long text"), (9, None, "same long text"), (1, "u", "ab"), (2, "u", "ab"), (None, "u", "alone"), (None, "u", "alone"), (3, "u", ""), (4, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (warc.BROADCAST_BYTES, 0):  # both ways to join
+        monkeypatch.setattr(warc, "BROADCAST_BYTES", limit)
+        warc.write_archives(df, str(tmp_path / "w"), least_bytes=3, mode="overwrite")
+        back = warc.read_archives(spark, str(tmp_path / "w")).collect()
+        kinds = sorted((r.record_id[18:], r.record_type, (r.refers_to or "")[18:], r.payload_bytes) for r in back)
+        want = [("7", "response", "", 14), ("9", "revisit", "7", 14), ("", "revisit", "7", 14), ("1", "response", "", 2), ("2", "response", "", 2), *[("", "response", "", 5)] * 2, ("3", "response", "", 0), ("4", "response", "", 0)]
+        assert kinds == sorted(want)
+    assert not list((tmp_path / "w").glob("*.tmp"))
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    foreign = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    import gzip
+
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.warc").write_bytes(foreign * 3)
+    (tmp_path / "f" / "b.warc.gz").write_bytes(gzip.compress(foreign) * 2)
+    got = warc.read_archives(spark, str(tmp_path / "f")).filter("payload_bytes = 5 and record_type = 'response'").collect()
+    assert len(got) == 5 and all(bytes(r.payload) == b"hello" and r.record_id == "urn:x" and r.payload_digest is None for r in got)
 
 
 # --- pipeline

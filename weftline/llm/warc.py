@@ -8,18 +8,23 @@ any record when ``payload`` is ``false``, is skipped without inflating its paylo
 length stands in its gzip extra field, so a reader seeks over it.
 
 Files are reached through ``pyarrow.fs``, by URI.  Each task writes under a name of
-its own and the commit renames, so a lost or repeated task leaves nothing.
+its own and the commit renames; what lost or repeated tasks of the same write left is deleted
+then.  ``overwrite`` deletes the archives that stood there before, once the new ones are in place.
+
+Digests are computed in the JVM, and payloads stay where they were read: of what repeats
+only digests and ids are shuffled, and the table of repeats is broadcast where its counted size allows.
 
 Edge cases: null html is the empty payload; null urls write no target header and read back
 as null; rows repeated with one page_id are written once each, all of them responses if that
-page_id is its payload's smallest; an empty table makes an empty archive.
+page_id is its payload's smallest; a row without page_id is written under an empty name and
+stands first for a payload only if no row with an id does; an empty table makes an empty archive,
+which reads back as no rows; records without ``X-Payload-Length`` (other producers') are opened to count their payload.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import struct
 import uuid
 import zlib
@@ -47,7 +52,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from weftline.llm.common import arrow_map, column, fresh_path, table, texts_of
+from weftline.llm.common import fresh_path, table, written
 
 SCHEMA = T.StructType(
     [
@@ -73,6 +78,9 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARTITION_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
+#: The table of repeated payloads is broadcast up to this many bytes, at ``REPEAT_BYTES`` a row.
+BROADCAST_BYTES = 8 << 20
+REPEAT_BYTES = 64
 
 
 def base32_sha1(raw: bytes) -> str:
@@ -186,6 +194,22 @@ class Members:
         return out[:end], rest, at + known
 
 
+def payload_of(heads: dict[str, str], block: bytes) -> bytes:
+    """A record's block without the HTTP head, if it has one."""
+    return block.partition(b"\r\n\r\n")[2] if heads.get("content-type", "").startswith("application/http") else block
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def archives(fs: pafs.FileSystem, root: str) -> list[pafs.FileInfo]:
+    """The archives in a folder, or the one that ``root`` is."""
+    top = fs.get_file_info(root)
+    found = [top] if top.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
+    return [i for i in found if i.is_file and ".warc" in i.base_name and not i.base_name.endswith(".tmp")]
+
+
 class WarcPartition(InputPartition):
     def __init__(self, files: list[str]):
         super().__init__(None)
@@ -209,8 +233,8 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[WarcPartition]:
-        fs, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
-        infos = [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.is_file and ".warc" in i.base_name and not i.base_name.endswith(".tmp")]
+        fs, root = file_system(self.path)
+        infos = archives(fs, root)
         bins, size = [[]], 0
         for info in sorted(infos, key=lambda i: i.path):
             if bins[-1] and size + info.size > PARTITION_BYTES:
@@ -239,7 +263,7 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: WarcPartition) -> Iterator[pa.RecordBatch]:
-        fs = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else pafs.LocalFileSystem()
+        fs = file_system(self.path)[0]
         arrow = pa.schema([(f.name, {"long": pa.int64(), "binary": pa.binary()}.get(f.dataType.simpleString().replace("bigint", "long"), pa.string())) for f in SCHEMA])
         rows, held = [], 0
         for path in partition.files:
@@ -247,14 +271,15 @@ class WarcReader(DataSourceReader):
                 for head, rest in Members(f, path.endswith(".warc")):
                     heads = parse_headers(head)
                     values = {c: tidy(c, heads.get(h)) for c, h in FIELDS.items()}
+                    holds, payload = values["record_type"] != "revisit", None
+                    if holds and values["payload_bytes"] is None:
+                        payload = payload_of(heads, rest())
+                        values["payload_bytes"] = len(payload)
                     if not self.wanted(values):
                         continue
-                    payload = None
-                    if self.payload and values["record_type"] != "revisit":
-                        block = rest()
-                        http = heads.get("content-type", "").startswith("application/http")
-                        payload = block.partition(b"\r\n\r\n")[2] if http else block
-                    rows.append(values | {"payload": payload})
+                    if holds and self.payload and payload is None:
+                        payload = payload_of(heads, rest())
+                    rows.append(values | {"payload": payload if self.payload else None})
                     held += len(payload or b"")
                     if len(rows) >= 512 or held > 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -265,37 +290,41 @@ class WarcReader(DataSourceReader):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
-        self.path = path
-
-    def _fs(self):
-        return pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
+        self.path, self.overwrite, self.run = path, overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        fs, root = self._fs()
+        fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
-        name = f"{root}/part-{uuid.uuid4().hex}.warc.gz"
+        name = f"{root}/part-{self.run}-{uuid.uuid4().hex}.warc.gz"
         n = 0
         with fs.open_output_stream(name + ".tmp", compression=None) as f:
             for batch in iterator:
-                buf = io.BytesIO()
                 for row in batch.to_pylist():
-                    buf.write(gzip_member(encode_record(row)))
+                    f.write(gzip_member(encode_record(row)))
                     n += 1
-                f.write(buf.getvalue())
         return WarcCommit(name, n)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, root = self._fs()
+        fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
+        before = [i.path for i in archives(fs, root)] if self.overwrite else []
         for m in messages:
-            if m is not None:
-                fs.move(m.name + ".tmp", m.name) if m.rows else fs.delete_file(m.name + ".tmp")
+            if m is not None and m.rows:
+                fs.move(m.name + ".tmp", m.name)
+        for path in before:
+            fs.delete_file(path)
+        self._sweep(fs, root)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, _ = self._fs()
-        for m in messages:
-            if m is not None and fs.get_file_info(m.name + ".tmp").is_file:
-                fs.delete_file(m.name + ".tmp")
+        fs, root = file_system(self.path)
+        if fs.get_file_info(root).type == pafs.FileType.Directory:
+            self._sweep(fs, root)
+
+    def _sweep(self, fs: pafs.FileSystem, root: str) -> None:
+        """What this write's tasks left without being committed."""
+        for i in fs.get_file_info(pafs.FileSelector(root)):
+            if i.base_name.startswith(f"part-{self.run}-") and i.base_name.endswith(".tmp"):
+                fs.delete_file(i.path)
 
 
 class WarcCommit(WriterCommitMessage):
@@ -325,41 +354,37 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def digested(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload (UTF-8 of html), payload_bytes, payload_digest."""
-    schema = T.StructType(
-        [
-            T.StructField("page_id", pages.schema["page_id"].dataType),
-            T.StructField("url", T.StringType()),
-            T.StructField("payload", T.BinaryType()),
-            T.StructField("payload_bytes", T.LongType()),
-            T.StructField("payload_digest", T.StringType()),
-        ]
-    )
+def base32_digest(raw: F.Column) -> F.Column:
+    """SHA-1 of a binary column in base 32: ten hexadecimal digits make eight of base 32."""
+    h = F.sha1(raw)
+    parts = [F.lpad(F.conv(F.substring(h, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = texts_of(batch, "html")
-        cols = [column(batch, "page_id"), column(batch, "url"), pa.array(raw, pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array([base32_sha1(x) for x in raw])]
-        return pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    return arrow_map(pages.select("page_id", "url", "html"), run, schema)
+def digested(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload (UTF-8 of html), payload_bytes, payload_digest."""
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    return pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_digest(payload).alias("payload_digest"))
 
 
 def as_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Records to write: of equal payloads of at least ``least_bytes``, the smallest page_id is the response.
 
-    Only digests that occur twice or more take part in the join, and the join
-    is one that adaptive execution splits when a payload is very common.
+    Only digests that occur twice or more take part in the join: broadcast where their counted size allows;
+    else only the commonest (a thousand at most) are, and the others are shuffled.
     """
     d = digested(pages)
-    firsts = (
-        d.filter(F.col("payload_bytes") >= least_bytes)
-        .groupBy("payload_digest", "payload_bytes")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .drop("n")
+    same = ["payload_digest", "payload_bytes"]
+    repeats = written(
+        d.filter(F.col("payload_bytes") >= least_bytes).groupBy(*same).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "repeats"
     )
-    j = d.join(firsts, ["payload_digest", "payload_bytes"], "left")
+    kinds, rows = repeats.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if kinds * REPEAT_BYTES <= BROADCAST_BYTES:
+        j = d.join(F.broadcast(repeats.drop("n")), same, "left")
+    else:
+        hot = F.col("n") > rows // 1000
+        common = F.broadcast(repeats.filter(hot).drop("n"))
+        j = d.join(common, same).unionByName(d.join(common, same, "left_anti").join(repeats.filter(~hot).drop("n"), same, "left"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("urn:weftline:page:"), c.cast("string"))
     return j.select(
@@ -373,9 +398,9 @@ def as_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, mode: str = "append") -> None:
     register(pages.sparkSession)
-    as_records(pages, least_bytes).write.format("warc").mode("append").option("path", path).save()
+    as_records(pages, least_bytes).write.format("warc").mode(mode).option("path", path).save()
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -389,18 +414,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.expr(f"try_cast(substring({c}, 19) AS BIGINT)")
     # Responses: length and digest of the payload as read; revisits: headers only.
     full = read_archives(spark, path).filter("record_type = 'response'")
-    checked = arrow_map(full.select("record_id", "payload"), _measured, "record_id string, payload_bytes long, payload_digest string")
-    responses = checked.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    responses = full.select(
+        page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_digest(F.col("payload")).alias("payload_digest"),
+        "record_type", F.lit(None).cast("long").alias("refers_to"),
+    )
     again = read_archives(spark, path, payload=False).filter("record_type = 'revisit'")
     revisits = again.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
     return responses.unionByName(revisits)
 
 
-def _measured(batch: pa.RecordBatch) -> pa.RecordBatch:
-    raw = [x or b"" for x in column(batch, "payload").to_pylist()]
-    return pa.RecordBatch.from_arrays([column(batch, "record_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([base32_sha1(x) for x in raw])], names=["record_id", "payload_bytes", "payload_digest"])
-
-
 OP9_SQL = """
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages
