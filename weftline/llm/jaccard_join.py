@@ -22,8 +22,12 @@ Large groups are split into blocks.  In the first round block meets block in a
 chain, since it only has to find most links; in the second each pair of blocks
 meets.  Rows that do not remain are never shuffled with their texts.
 
+Keys, components and classes that many rows share are never one task's work: such rows meet
+the other side by broadcast (a bounded number of keys) or under a salt.
+
 Edge cases: null and empty texts have no shingles and link with nothing (the
-component is their own id); texts of fewer than five words are one shingle;
+component is their own id); an empty table gives an empty result; columns other than
+key and text are not looked at, whatever their names; texts of fewer than five words are one shingle;
 equal texts share a class; very long texts are read whole; repeated ids and null
 ids are kept, row for row (a null id never names a component, but its text links
 as any other does).
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from weftline.llm.common import arrow_map, column, fresh_path, mix64, table, window_hash
+from weftline.llm.common import arrow_map, column, discard, fresh_path, join_counted, mix64, remove_path, table, window_hash
 from weftline.llm.common import written as write_table
 from weftline.llm.components import components
 from weftline.llm.signature_tree import bitmap, possible_groups, tree_links, width
@@ -51,6 +55,8 @@ CUT = int(SAMPLE * TOP)
 BLOCK = 512
 #: From this many sets on, a component of the first round is compared as a whole, not key by key.
 LARGE = 16
+#: Rows of one key that meet its large components under one salt.
+SALT_ROWS = 4096
 #: The semi-join that picks remaining texts broadcasts their ids only below this size.
 BROADCAST_BYTES = 8 << 20
 
@@ -234,7 +240,7 @@ def text_bytes(df: DataFrame, text: str) -> int:
 
 
 def classes_and_candidates(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a row per text: key, n, fp), (a row per class: fp, n, rep), (remaining classes: fp, n, rep, hs: keys, rarest first)."""
+    """(a row per text: key, n, fp), (a row per class: fp, rep, copies), (remaining classes: fp, n, rep, hs: keys, rarest first)."""
     spark = df.sparkSession
     size = text_bytes(df, text)
     buckets = 1 << max(10, min(20, int(size >> 22).bit_length()))
@@ -244,8 +250,7 @@ def classes_and_candidates(df: DataFrame, key: str, text: str) -> tuple[DataFram
     arrow_map(df.select(key, text), _first_pass(key, text, buckets, to_arrow_type(df.schema[key].dataType)), schema).write.partitionBy("kind").parquet(path)
     stored = spark.read.schema(schema).parquet(path)
     texts = stored.filter("kind = 'm'").select(key, "fp", "n", "sampled", "last")
-    reps = texts.filter("n > 0").groupBy("fp").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.first("last").alias("last"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
+    reps = texts.filter("n > 0").groupBy("fp").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.first("last").alias("last"), F.count("*").alias("copies"))
     dealt = stored.filter("kind = 'h'").select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket")
     shared = dealt.mapInArrow(_shared_in_buckets, "fp long, h long").unionByName(stored.filter("kind = 's'").select("fp", F.col("last").alias("h")))
     per = shared.groupBy("fp").agg(F.array_sort(F.collect_set("h")).alias("hs"))
@@ -259,13 +264,16 @@ def classes_and_candidates(df: DataFrame, key: str, text: str) -> tuple[DataFram
     # Once more among what remains; then of each set's shared shingles, rarest first, all but the last `least` - 1:
     # two sets that share `least` of them still share one of those.
     each = left.select("fp", "least", F.explode("hs").alias("h"))
-    spread = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = each.join(spread, "h").groupBy("fp").agg(F.first("least").alias("least"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    spread = write_table(each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "spread")
+    ranked = join_counted(each, spread, "h", "df").groupBy("fp").agg(F.first("least").alias("least"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
     kept = ranked.filter(F.size("hs") >= F.col("least")).select(
         "fp", F.transform(F.slice("hs", F.lit(1), F.size("hs") - F.col("least").cast("int") + 1), lambda x: x["h"]).alias("hs")
     )
-    left = left.select("fp", "n", "rep").join(kept, "fp")
-    return texts.select(key, "n", "fp"), reps.select("fp", "n", "rep"), write_table(left, "candidates")
+    candidates = write_table(left.select("fp", "n", "rep").join(kept, "fp"), "candidates")
+    discard(left, spread)
+    for kind in "hs":
+        remove_path(spark, f"{path}/kind={kind}")
+    return texts.select(key, "n", "fp"), reps.select("fp", "rep", "copies"), candidates
 
 
 # --- steps 3 and 4: groups and trees ----------------------------------------
@@ -349,8 +357,8 @@ def _sift(batches):
 
 def dealt_tasks(members: DataFrame, sets: DataFrame, every_pair: bool, parts: int) -> DataFrame:
     """Members (g, fp, label) of groups of two or more, with the columns of ``sets``, as tasks: a group, or a pair of its blocks."""
-    counts = members.groupBy("g").agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    m = members.join(counts, "g").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    counts = write_table(members.groupBy("g").agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")), "groups")
+    m = join_counted(members, counts, "g", "rows").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     last = F.col("blocks") - 1
     mine = F.struct(F.col("b").alias("i"), F.col("b").alias("j"))
     if every_pair:
@@ -386,35 +394,49 @@ def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> Dat
     sets = remaining_sets(df, left, key, text)
     seeds = left.select(F.explode(F.array_distinct(F.array(F.element_at("hs", -1), F.array_min("hs")))).alias("g"), "fp", F.col("fp").alias("label"))
     # In both rounds trees over bitmaps alone go first; whole sets travel only for what these leave.
-    first = write_table(group_links(write_table(sifted(seeds, sets, False, parts), "sifted"), sets, False, parts), "links")
-    labels = write_table(components(first), "labels")
+    sift = write_table(sifted(seeds, sets, False, parts), "sifted")
+    first = write_table(group_links(sift, sets, False, parts), "links")
+    discard(sift)
+    bare = components(first)
+    sizes = bare.groupBy("label").agg(F.count("*").alias("k"))
+    labels = write_table(join_counted(bare, sizes, "label", "k", bare.count()), "labels")
     # Second round: keys whose sets are in two components or more.
-    tagged = left.join(labels, left["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), F.explode("hs").alias("g"))
-    tagged = write_table(tagged, "tagged")
+    of = left.join(labels, left["fp"] == labels["node"], "left")
+    tagged = write_table(of.select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("k", F.lit(1)).alias("k"), F.explode("hs").alias("g")), "tagged")
     # Sets of small components meet in the groups of their keys; a group that stands for the same sets as another is walked once.
-    large = write_table(labels.groupBy("label").agg(F.count("*").alias("k")).filter(F.col("k") >= LARGE).select("label"), "large")
-    small = tagged.join(large, "label", "left_anti")
-    mixed = small.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("k"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("who")).filter("a != z")
-    once = mixed.groupBy("k", "who").agg(F.min("g").alias("g")).select("g")
-    near = sifted(small.join(once, "g").select("g", "fp", "label"), sets, True, parts)
+    small, is_large = tagged.filter(F.col("k") < LARGE), F.col("k") >= LARGE
+    mixed = small.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("rows"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("who")).filter("a != z")
+    once = write_table(mixed.groupBy("rows", "who").agg(F.min("g").alias("g")).select("g", "rows"), "once")
+    chosen = write_table(join_counted(small, once, "g", "rows").select("g", "fp", "label"), "chosen")
+    near = write_table(sifted(chosen, sets, True, parts), "near")
     # A set that shares a key with a large component is weighed against all of it, once.
-    spots = tagged.join(large, "label").select("g", F.col("label").alias("whole")).distinct()
-    guests = tagged.join(spots, "g").filter("label != whole").select("whole", "fp", "label").distinct()
-    far = large_groups(write_table(guests, "guests"), labels, sets, parts)
-    second = group_links(write_table(near.unionByName(far), "sifted"), sets, True, parts)
-    return components(first.unionByName(write_table(second, "links")))
+    keys = write_table(tagged.groupBy("g").agg(F.count("*").alias("rows"), F.max(is_large).alias("large")).filter("large").select("g", "rows"), "keys")
+    salts = F.ceil(F.col("rows") / SALT_ROWS).cast("int")
+    met = join_counted(tagged, keys, "g", "rows")
+    spots = met.filter(is_large).select("g", F.col("label").alias("whole"), "rows").distinct()
+    spots = spots.select("g", "whole", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    guests = met.withColumn("salt", F.pmod(F.xxhash64("fp"), salts).cast("int")).join(spots, ["g", "salt"]).filter("label != whole").select("whole", "fp", "label").distinct()
+    guests = write_table(guests, "guests")
+    far = large_groups(guests, labels.select("node", "label"), sets, parts)
+    both = write_table(near.unionByName(far), "sifted")
+    second = write_table(group_links(both, sets, True, parts), "links")
+    out = components(first.unionByName(second))
+    discard(sets, first, bare, labels, tagged, once, chosen, near, keys, guests, both, second)
+    return out
 
 
 def large_groups(guests: DataFrame, labels: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Groups of ``guests`` (whole, fp, label) and members of the large component ``whole`` that bitmaps cannot tell apart, block by block on both sides."""
-    calls = guests.groupBy("whole").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("far"))
-    homes = labels.join(calls, labels["label"] == calls["whole"]).select("whole", F.col("node").alias("fp"), "label", "far")
-    near = homes.groupBy("whole").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("near"))
+    calls = guests.groupBy("whole").agg(F.count("*").alias("guests"))
+    homes = labels.groupBy("label").agg(F.count("*").alias("homes")).withColumnRenamed("label", "whole")
+    sized = calls.join(homes, "whole").select("whole", "guests", "homes", F.ceil(F.col("guests") / BLOCK).cast("int").alias("far"), F.ceil(F.col("homes") / BLOCK).cast("int").alias("near"))
+    sized = write_table(sized, "sized")
+    homes = join_counted(labels.select(F.col("label").alias("whole"), F.col("node").alias("fp"), "label"), sized, "whole", "homes")
     task = lambda i, j: F.concat_ws(":", "whole", i, j)
     spot = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = homes.join(near, "whole").select("whole", "fp", "label", spot("near").alias("i"), every("far").alias("j")).select(task("i", "j").alias("task"), F.lit(0).alias("side"), "fp", "label")
-    right = guests.join(calls, "whole").join(near, "whole").select("whole", "fp", "label", spot("far").alias("j"), every("near").alias("i")).select(task("i", "j").alias("task"), F.lit(1).alias("side"), "fp", "label")
+    left = homes.select("whole", "fp", "label", spot("near").alias("i"), every("far").alias("j")).select(task("i", "j").alias("task"), F.lit(0).alias("side"), "fp", "label")
+    right = join_counted(guests, sized, "whole", "guests").select("whole", "fp", "label", spot("far").alias("j"), every("near").alias("i")).select(task("i", "j").alias("task"), F.lit(1).alias("side"), "fp", "label")
     dealt = left.unionByName(right).join(bits_of(sets), "fp").repartition(parts, "task").sortWithinPartitions("task", "side", "fp")
     return dealt.mapInArrow(_sift, "g long, fp long, label long").distinct()
 
@@ -425,14 +447,17 @@ def bits_of(sets: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``df``: key, n_shingles, component_id (the smallest key reachable by links)."""
-    texts, reps, left = classes_and_candidates(df, key, text)
-    labels = write_table(component_labels(df, left, key, text), "labels")
-    least = labels.join(reps, labels["node"] == reps["fp"]).groupBy("label").agg(F.min("rep").alias("least"))
-    moved = labels.join(least, "label").select(F.col("node").alias("fp"), "least")
-    named = reps.select("fp", "rep").join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    # Equal texts make `fp` a hot key here: adaptive execution splits this join.
-    out = texts.join(named, "fp", "left")
-    return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
+    rows = df.select(F.col(f"`{key}`").alias("row_key"), F.col(f"`{text}`").cast("string").alias("row_text"))
+    texts, reps, left = classes_and_candidates(rows, "row_key", "row_text")
+    labels = component_labels(rows, left, "row_key", "row_text")
+    least = labels.join(reps, labels["node"] == reps["fp"]).groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("k"))
+    moved = join_counted(labels, least, "label", "k", labels.count()).select(F.col("node").alias("fp"), "least")
+    named = write_table(reps.join(moved, "fp", "left").select("fp", "copies", F.coalesce("least", "rep").alias("component_id")), "named")
+    discard(left, labels)
+    # Equal texts make `fp` a hot key.
+    full = join_counted(texts.filter("n > 0"), named, "fp", "copies").select("row_key", "n", "component_id")
+    out = full.unionByName(texts.filter("n = 0").select("row_key", "n", F.col("row_key").alias("component_id")))
+    return out.select(F.col("row_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
