@@ -201,7 +201,7 @@ def test_nearest(spark):
     x[300:420] = x[7]  # a common vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9050, [0.0] * 16), (9100, [float("nan")] * 16), (9150, [None] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = hnsw.search(df.filter("vec_id % 50 = 0"), hnsw.build_index(df, shard_rows=300)).collect()
+    got = hnsw.search(df.filter("vec_id % 50 = 0"), hnsw.build_index(df, shards=3)).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = 0
     for q in range(0, 900, 50):

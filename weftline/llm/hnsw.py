@@ -1,10 +1,11 @@
 """Approximate nearest neighbours (5): a navigable small-world hierarchy per shard.
 
-Vectors are dealt to shards of about ``SHARD_ROWS`` by a hash of their id; a
-shard's graph is built in one task and stored as flat arrays (neighbour ids,
-levels, unit vectors).  Every query searches every shard, in blocks; each
-shard gives its nearest, scored again in double precision on the original
-vectors, and the shards' answers are merged by rank.
+Vectors are dealt to shards by a hash of their id.  A shard takes what ``SHARD_BYTES``
+hold; small tables are dealt to more and smaller shards, at least ``LEAST_ROWS`` each, up to
+``LEAST_SHARDS``, so that they too are built side by side.  A shard's graph is built in one task and
+stored as flat arrays (neighbour ids, levels, vectors).  In the search a task loads a shard's
+arrays once and streams blocks of queries past them; each shard gives its nearest, scored again in
+double precision on the original vectors, and the shards' answers are merged by rank.
 
 Equal vectors are one node that holds their ``k + 1`` smallest ids: no more of
 them can be among a query's ``k`` nearest, the query itself left out.
@@ -12,8 +13,9 @@ them can be among a query's ``k`` nearest, the query itself left out.
 Edge cases: vectors that are null, of zero length, or hold null or
 non-finite components take no part, neither as query nor as candidate; vectors
 of another dimension than the query's are in no shard of its dimension; with fewer
-than ``k`` candidates all are returned; ties go to the smaller id; an empty table gives
-an empty result; other columns are ignored.
+than ``k`` candidates all are returned; ties go to the smaller id (among the ``ef`` that a walk finds);
+repeated rows count once; of several vectors under one id the query takes the smallest, and a
+result the nearest; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import column, table, written
+from weftline.llm.common import column, discard, slices, table, written
 
-SHARD_ROWS = 2500
+SHARD_BYTES = 32 << 20
+LEAST_ROWS = 2500
+LEAST_SHARDS = 24
 LINKS = 12
 EF_BUILD = 60
 EF_SEARCH = 80
@@ -168,39 +172,58 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.withColumn("dim", F.size("v"))
 
 
-def _pack_vectors(vectors: list, dim: int) -> np.ndarray:
-    return np.array(vectors, np.float64).reshape(-1, dim)
+def score(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosine of each row of ``x`` with ``q``; sums run from the first component to the last, so that the value does not depend on a library's order."""
+    total = lambda v: np.cumsum(v, axis=-1)[..., -1]
+    return total(x * q) / (np.sqrt(total(x * x)) * np.sqrt(total(q * q)))
 
 
 INDEX = "dim int, shard int, ids binary, owners binary, vectors binary, levels binary, entry int, near binary"
 
 
+def _runs(batch: pa.RecordBatch, names: tuple[str, ...]):
+    """(values of ``names``, rows) of each run of rows that agree on them."""
+    keys = list(zip(*(column(batch, c).to_pylist() for c in names), strict=True))
+    start = 0
+    for k in range(1, len(keys) + 1):
+        if k == len(keys) or keys[k] != keys[start]:
+            yield keys[start], batch.slice(start, k - start)
+            start = k
+
+
 def _index_task(batches):
     """Rows (dim, shard, v, ids) sorted by dim and shard; one row a shard."""
 
-    def build(dim: int, shard: int, rows: list) -> dict:
-        x = _pack_vectors([r[0] for r in rows], dim)
+    def build(dim: int, shard: int, vectors: list[np.ndarray], ids: list[list[int]]) -> dict:
+        x = np.concatenate(vectors)
         g = Graph.build(normed(x))
-        owners = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+        owners = np.repeat(np.arange(len(x)), [len(i) for i in ids])
         return {
-            "dim": dim, "shard": shard, "ids": np.concatenate([np.array(r[1], "<i8") for r in rows]).tobytes(), "owners": owners.astype("<i4").tobytes(),
+            "dim": dim, "shard": shard, "ids": np.concatenate([np.array(i, "<i8") for i in ids]).tobytes(), "owners": owners.astype("<i4").tobytes(),
             "vectors": x.astype("<f8").tobytes(), "levels": g.levels.astype("<i4").tobytes(), "entry": int(g.entry), "near": g.packed(),
         }
 
     schema = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("owners", pa.binary()), ("vectors", pa.binary()), ("levels", pa.binary()), ("entry", pa.int32()), ("near", pa.binary())])
-    now, held = None, []
+    now, vectors, ids = None, [], []
     for batch in batches:
-        for d, s, v, ids in zip(*(column(batch, c).to_pylist() for c in ("dim", "shard", "v", "ids")), strict=True):
-            if (d, s) != now and held:
-                yield pa.RecordBatch.from_pylist([build(*now, held)], schema=schema)
-                held = []
-            now = (d, s)
-            held.append((v, ids))
-    if held:
-        yield pa.RecordBatch.from_pylist([build(*now, held)], schema=schema)
+        for key, run in _runs(batch, ("dim", "shard")):
+            if key != now and ids:
+                yield pa.RecordBatch.from_pylist([build(*now, vectors, ids)], schema=schema)
+                vectors, ids = [], []
+            now = key
+            vectors.append(column(run, "v").flatten().to_numpy(zero_copy_only=False).reshape(-1, key[0]))
+            ids += column(run, "ids").to_pylist()
+    if ids:
+        yield pa.RecordBatch.from_pylist([build(*now, vectors, ids)], schema=schema)
+
+
+def shard_count(rows: int, dim: int, shard_bytes: int = SHARD_BYTES) -> int:
+    """By memory: a vector stands there in double and single precision, beside its links.  Few rows are dealt wider."""
+    fit = max(1, shard_bytes // (12 * dim + 16 * LINKS))
+    return max(1, -(-rows // fit), min(LEAST_SHARDS, -(-rows // LEAST_ROWS)))
 
 
-def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, shards: int | None = None) -> DataFrame:
     """One row per shard, written to the shared folder: every usable vector is in it."""
     rows = usable(df, key, vector)
     # Of equal vectors the k + 1 smallest ids; ranked in each map task first (a limit on groups), so a common vector is no hot key.
@@ -208,72 +231,78 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k
     rows = rows.select("id", "dim", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
     few = rows.distinct().withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
     nodes = written(few.groupBy("v").agg(F.first("dim").alias("dim"), F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
+    n, widest = nodes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shards = shards or shard_count(n, widest)
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(shards)).cast("int"))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
     built = dealt.repartition(max(shards, 2), "dim", "shard").sortWithinPartitions("dim", "shard", F.element_at("ids", 1)).mapInArrow(_index_task, INDEX)
-    return written(built, "index")
+    out = written(built, "index")
+    discard(nodes)
+    return out
+
+
+FOUND = "query_id long, vec_id long, score double"
 
 
 def _search_task(k: int, ef: int):
+    """Rows sorted by shard, its arrays before the blocks of queries."""
+
+    def load(row: dict):
+        x = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+        first = np.searchsorted(np.frombuffer(row["owners"], "<i4"), np.arange(len(x) + 1))
+        return x, Graph.unpacked(normed(x), np.frombuffer(row["levels"], "<i4"), row["entry"], row["near"]), np.frombuffer(row["ids"], "<i8"), first
+
     def run(batches):
-        graphs: dict = {}
-        for batch in batches:
-            out = ([], [], [])
-            for row in batch.to_pylist():
-                name = (row["dim"], row["shard"])
-                if name not in graphs:
-                    graphs.clear()
-                    x = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
-                    owners = np.frombuffer(row["owners"], "<i4")
-                    first = np.searchsorted(owners, np.arange(len(x) + 1))
-                    graphs[name] = (x, np.sqrt((x * x).sum(1)), Graph.unpacked(normed(x), np.frombuffer(row["levels"], "<i4"), row["entry"], row["near"]), np.frombuffer(row["ids"], "<i8"), first)
-                x, length, g, ids, first = graphs[name]
-                qs = np.frombuffer(row["q"], "<f8").reshape(-1, row["dim"])
-                q_ids = np.frombuffer(row["q_ids"], "<i8")
-                for q, u, own in zip(qs, normed(qs), q_ids.tolist(), strict=True):
-                    at = np.array(g.nearest(u, max(ef, 2 * k + 2))[: 4 * k + 4])
-                    score = x[at] @ q / (length[at] * np.sqrt(q @ q))
-                    found = [(-s, i) for s, a in zip(score.tolist(), at.tolist(), strict=True) for i in ids[first[a] : first[a + 1]].tolist() if i != own]
-                    for s, i in heapq.nsmallest(k, found):
-                        out[0].append(own)
-                        out[1].append(i)
-                        out[2].append(-s)
+        now = loaded = None
+        for batch in slices(batches, 1):
+            (row,) = batch.to_pylist()
+            if row["vectors"] is not None:
+                now, loaded = (row["dim"], row["shard"]), load(row)
+                continue
+            if now != (row["dim"], row["shard"]):
+                continue
+            x, g, ids, first = loaded
+            qs = np.frombuffer(row["q"], "<f8").reshape(-1, row["dim"])
+            out: tuple = ([], [], [])
+            for q, u, own in zip(qs, normed(qs), np.frombuffer(row["q_ids"], "<i8").tolist(), strict=True):
+                at = np.array(g.nearest(u, max(ef, 2 * k + 2)))
+                best: dict[int, float] = {}
+                for s, a in zip(score(x[at], q).tolist(), at.tolist(), strict=True):
+                    for i in ids[first[a] : first[a + 1]].tolist():
+                        if i != own and s > best.get(i, -2.0):
+                            best[i] = s
+                for i, s in heapq.nsmallest(k, best.items(), key=lambda p: (-p[1], p[0])):
+                    out[0].append(own)
+                    out[1].append(i)
+                    out[2].append(s)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _pack_block(batches):
+    for batch in slices(batches, 1):
+        (row,) = batch.to_pylist()
+        cols = [np.array([x["id"] for x in row["rows"]], "<i8").tobytes(), np.array([x["v"] for x in row["rows"]], "<f8").tobytes()]
+        yield pa.RecordBatch.from_arrays([column(batch, "dim"), column(batch, "block"), *(pa.array([c], pa.binary()) for c in cols)], names=["dim", "block", "q_ids", "q"])
+
+
 def search(queries: DataFrame, index: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, ef: int = EF_SEARCH) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of the index, itself left out."""
     spark = queries.sparkSession
-    q = usable(queries, key, vector).dropDuplicates(["id"])
+    q = usable(queries, key, vector).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("least")).select("id", "least.*")
     n = q.count()
-    # Queries go in blocks, each block once to every shard of its dimension.
+    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))))
+    packed = written(q.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).mapInArrow(_pack_block, "dim int, block long, q_ids binary, q binary"), "blocks")
+    # A shard's arrays go to one task, or where there are fewer shards than cores to several; each block of queries once to each shard of its dimension.
     shards = index.select("dim", "shard").groupBy("dim").agg(F.max("shard").alias("top"))
-    blocks = (
-        q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))))
-        .groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-        .join(F.broadcast(shards), "dim")  # a row per dimension
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("top"))))
-    )
-
-    def pack(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    column(batch, "dim"), column(batch, "shard"),
-                    pa.array([np.array([x["id"] for x in r["rows"]], "<i8").tobytes() for r in rows], pa.binary()),
-                    pa.array([np.array([x["v"] for x in r["rows"]], "<f8").tobytes() for r in rows], pa.binary()),
-                ],
-                names=["dim", "shard", "q_ids", "q"],
-            )
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
-    packed = blocks.select("dim", "shard", "rows").mapInArrow(pack, "dim int, shard int, q_ids binary, q binary")
-    pairs = index.join(packed, ["dim", "shard"]).repartition(max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = pairs.mapInArrow(_search_task(k, ef), "query_id long, vec_id long, score double")
+    total = index.count()
+    splits = max(1, min(-(-n // BLOCK), spark.sparkContext.defaultParallelism // max(1, total)))
+    arrays = [f.name for f in index.schema if f.name not in ("dim", "shard")]
+    left = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("part"), F.lit(0).alias("side"), *arrays, F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q"))
+    each = packed.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("top"))))  # `shards`: a row per dimension
+    right = each.select("dim", "shard", F.pmod("block", F.lit(splits)).cast("int").alias("part"), F.lit(1).alias("side"), *(F.lit(None).cast(index.schema[c].dataType).alias(c) for c in arrays), "q_ids", "q")
+    dealt = left.unionByName(right).repartition(max(2, total * splits), "dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "side")
+    found = dealt.mapInArrow(_search_task(k, ef), FOUND).repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -281,3 +310,20 @@ def search(queries: DataFrame, index: DataFrame, key: str = "vec_id", vector: st
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(vectors.filter("vec_id % 50 = 0"), build_index(vectors))
+
+
+#: The exact answer; the query's equals it where the walks find every true neighbour, as on tables of a few thousand vectors.
+OP5_SQL = f"""
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), u AS (
+  SELECT *, sqrt(list_reduce(list_transform(x, lambda c: c * c), lambda a, b: a + b)) AS norm FROM v
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: c.x[i] * q.x[i]), lambda a, b: a + b) / (c.norm * q.norm)) AS score
+  FROM (SELECT * FROM u WHERE vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY len(x), x) = 1) q JOIN u c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x)
+  GROUP BY 1, 2
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {K}
+"""
