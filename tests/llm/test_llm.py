@@ -58,6 +58,50 @@ def test_main_text_keeps_every_marked_word_and_no_other():
             assert main_text.main_text(page) == "Big title " + text, page
 
 
+#: Pages written by hand, apart from the generator that the weights are learned from: (html, the article's text).
+BY_HAND = [
+    ("""<!doctype html><html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><a href=/>Daily</a></header><nav class="main-nav"><ul><li><a href=/1>World</a><li><a href=/2>Sport</a></ul></nav>
+<main><article class="post"><header><h1>Storm &amp; flood</h1></header><p>Rain fell on <em>Tuesday</em> night,   and the river rose by two metres.</p><figure><img src=x><figcaption>The old bridge, seen from the mill.</figcaption></figure>
+<aside class="related"><h3>Read more</h3><ul><li><a href=/3>Another storm</a></li></ul></aside><p>Nobody was hurt, the mayor said; the <a href=/m>mill</a> stays shut.</p></article></main><section id="comments"><p>First! What a great story that was to read.</p></section><footer>&copy; Daily 2020</footer></body></html>""",
+     "Storm & flood Rain fell on Tuesday night, and the river rose by two metres. The old bridge, seen from the mill. Nobody was hurt, the mayor said; the mill stays shut."),
+    ("""<body><div id="cookie-banner" class="cookie">We use cookies to improve what you see here.</div><div id=content><h1>Proof</h1><p>We know that <math><mi>x</mi><mo>&lt;</mo><mn>3</mn></math> holds for all of these numbers.</p><p>So the sum <svg><text>S</text></svg> is finite, as we wanted to show.</p><form action=/s><label>Search</label><select><option>All<option>None</select><button>Go</button></form></div><div id="sidebar"><p>About the author of this page and others.</p></div>""",
+     "Proof We know that x<3 holds for all of these numbers. So the sum S is finite, as we wanted to show."),
+    ("""<html><body><div class="menu"><a href=a>One</a> | <a href=b>Two</a></div><div class="entry"><h2>Bread</h2><ol><li>Mix flour and water well.<li>Wait for an hour or two.<li>Bake until it is brown.</ol><table><tr><th>Flour<td>500 g<tr><th>Water<td>350 g</table><pre>bake  --hot</pre><div class="share social"><a href=t>Tweet</a></div><p>Enjoy it while it is warm&hellip;</div><div class="comments"><div class="comment"><p>Mine burned, sadly enough for all of us.</p></div></div>""",
+     "Bread Mix flour and water well. Wait for an hour or two. Bake until it is brown. Flour 500 g Water 350 g bake --hot Enjoy it while it is warm…"),
+    ("""<body><article><h1>Half a page</h1><p>It is cut off in the middle of a sen""", "Half a page It is cut off in the middle of a sen"),
+    ("""<body><noscript>Please turn on scripts to see this page.</noscript><main><p>One two three four five.<script>if (a < b) { document.write("<p>no") }</script><p>Six seven <!-- <p>hidden --> eight nine ten.<textarea>typed</textarea><iframe>frame</iframe></main>""", "One two three four five. Six seven eight nine ten."),
+]
+
+
+def test_pages_written_by_hand():
+    for page, text in BY_HAND:
+        assert main_text.main_text(page) == text, page
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        for one in ("<b>x ", "<div><p>x ", "<b>x</i></q> ", "<b><div>x</div><li>"):
+            main_text.main_text("<body><article>" + one * n)
+        return time.perf_counter() - began
+
+    main_text.trained()
+    seconds(100)
+    assert seconds(16_000) < 25 * seconds(2_000)  # eight times the length
+    assert main_text.main_text("<body><article><p>" + "word " * 300_000) == ("word " * 300_000).strip()
+
+
+def test_main_text_rows(spark):
+    page = BY_HAND[0][0]
+    rows = [(1, "u", page, "clash"), (1, "u", page, "clash"), (None, None, None, None), (3, "u", "", "x"), (4, "u", "<p", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = main_text.extract_main_text(df)
+    assert got.columns == ["page_id", "url", "html", "text"] and sorted((r.page_id or 0, r.text) for r in got.collect()) == [(0, ""), (1, BY_HAND[0][1]), (1, BY_HAND[0][1]), (3, ""), (4, "")]
+    assert main_text.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_best_region_is_the_best():
     rnd = random.Random(3)
     for _ in range(200):

