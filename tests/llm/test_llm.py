@@ -355,6 +355,31 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_plans_place_every_piece_once_and_patterns_carry_their_share():
+    rnd = np.random.default_rng(2)
+    for lengths in (rnd.integers(1, 4097, 3000), np.full(500, 700), rnd.integers(1, 60, 2000), np.exp(rnd.normal(6, 1, 20_000)).astype(int).clip(1, 4096), np.array([4096, 1, 1]), np.array([], int)):
+        counts = np.bincount(lengths, minlength=4097)
+        plan = packing.best_plan(counts)
+        each = np.sort(lengths)
+        rank = np.arange(len(each)) - np.searchsorted(each, each)
+        to = plan.sequence_of(each, rank) if len(each) else each
+        filled = np.bincount(to, weights=each, minlength=plan.sequences)
+        assert len(filled) == plan.sequences and (filled > 0).all() and filled.max(initial=0) <= 4096
+        alone = packing.Plan(counts, phases=())  # best fit alone
+        assert plan.sequences <= 1.005 * alone.sequences
+        if len(each) > 2500:  # many lengths
+            assert plan.patterned_tokens >= 0.15 * each.sum()
+
+
+def test_packing_equal_rows_and_clashing_names(spark):
+    rows = [(5, "x " * 900)] * 7 + [(None, None), (None, ""), (6, "y " * 9000)]
+    df = spark.createDataFrame([(k, t, 1, 2, 3, 4) for k, t in rows], "piece long, start string, length int, salt int, rank int, text int")
+    out = packing.pack_documents(df, key="piece", text="start").toDF("id", "piece", "start", "length", "crc", "sequence", "offset").collect()
+    assert sorted((r.id or 0, r.piece, r.start, r.length) for r in out) == sorted([(5, 0, 0, 901)] * 7 + [(0, 0, 0, 1)] * 2 + [(6, 0, 0, 4096), (6, 1, 4096, 4096), (6, 2, 8192, 809)])
+    spans = sorted((r.sequence, r.offset, r.length) for r in out)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in itertools.pairwise(spans)) and len({(s, o) for s, o, _ in spans}) == len(out)
+
+
 # --- 9
 
 

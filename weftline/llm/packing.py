@@ -2,23 +2,29 @@
 
 Documents become ids, end with one closing id, and are cut only where they
 exceed ``capacity``.  The histogram of piece lengths (``capacity`` counts at
-most, whatever the corpus) goes to the driver.  There: patterns of up to three
-pieces that fill a sequence are enumerated on a grid of lengths, repeat counts
-are fitted to the histogram by non-negative least squares, rounded down to what
-is there, and the residual is packed best-fit decreasing on exact lengths.
+most, whatever the corpus) goes to the driver.  There patterns that fill a sequence are
+enumerated on grids of lengths: first up to three pieces on a fine grid, then, for what
+is left, up to five on a coarser one.
+Repeat counts are fitted to the histogram by non-negative least squares and rounded to what
+is there.  The residual is packed best-fit decreasing on exact lengths, into the room that
+rounding up to a grid has left in the patterns' sequences and into sequences of its own.
 
 The plan says for the k-th piece of each length which sequence it goes to, so
 applying it needs only a rank within each length.  Ranks are counted within
 salted groups, so a length that a third of all pieces share is no hot key.
 
 Edge cases: a null or empty text is one piece holding just the closing id;
-repeated rows are packed once each; an empty table gives an empty result.
+repeated rows are packed once each (rows equal in key, piece and ids may change places, which no
+result shows); an empty table gives an empty result; columns other than key and text
+are not looked at, and the key may bear any name.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
+from copy import deepcopy
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +38,8 @@ from weftline.llm.common import arrow_map, column, table, texts_of, written
 
 CAPACITY = 4096
 END_ID = 1
-GRID = 4
-NNLS_STEPS = 1500
+#: (width of a length class, most pieces of a pattern, steps of the fit), in the order of use.
+PHASES = ((4, 3, 1200), (32, 5, 300))
 MEMO = 500_000
 
 
@@ -140,31 +146,42 @@ def pieces_of(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     return arrow_map(df.select(key, text), run, schema)
 
 
-def patterns(units: int) -> np.ndarray:
-    """All multisets of one to three positive lengths with sum ``units``, as rows padded with 0."""
-    out = [np.array([[units, 0, 0]])]
-    a = np.arange(1, units // 2 + 1)
-    out.append(np.stack([units - a, a, np.zeros_like(a)], 1))
-    for c in range(1, units // 3 + 1):
-        b = np.arange(c, (units - c) // 2 + 1)
-        out.append(np.stack([units - c - b, b, np.full_like(b, c)], 1))
-    return np.concatenate(out)
+def patterns(units: int, most: int = 3) -> np.ndarray:
+    """All multisets of one to ``most`` positive lengths with sum ``units``, as rows padded with 0, largest first."""
+    if most == 3:
+        out = [np.array([[units, 0, 0]])]
+        a = np.arange(1, units // 2 + 1)
+        out.append(np.stack([units - a, a, np.zeros_like(a)], 1))
+        for c in range(1, units // 3 + 1):
+            b = np.arange(c, (units - c) // 2 + 1)
+            out.append(np.stack([units - c - b, b, np.full_like(b, c)], 1))
+        return np.concatenate(out)
+    rows: list[list[int]] = []
+
+    def grow(row: list[int], left: int) -> None:
+        if not left:
+            rows.append(row + [0] * (most - len(row)))
+            return
+        for x in range(min(left, row[-1] if row else left), 0, -1):
+            if x * (most - len(row)) < left:
+                break
+            grow([*row, x], left - x)
+
+    grow([], units)
+    return np.array(rows)
 
 
-def nnls(pats: np.ndarray, target: np.ndarray, steps: int = NNLS_STEPS) -> np.ndarray:
+def nnls(pats: np.ndarray, target: np.ndarray, steps: int) -> np.ndarray:
     """Repeat counts x >= 0 that minimise the squared error of the pattern counts against ``target`` (index 0 unused), by accelerated projected gradient on columns scaled to the histogram."""
-    n, size = len(pats), len(target)
+    n, size, most = len(pats), len(target), pats.shape[1]
     used = target > 0
-    ok = np.ones(n, bool)
-    for j in range(3):
-        ok &= (pats[:, j] == 0) | used[pats[:, j]]
-    index = np.flatnonzero(ok)
+    index = np.flatnonzero(((pats == 0) | used[pats]).all(1))
     x = np.zeros(n)
     if not len(index):
         return x
     p = pats[index]
-    forward = lambda v: np.bincount(p.ravel(), weights=np.repeat(v, 3), minlength=size)
-    # A diagonal bound on the Hessian: each pattern touches at most three rows.
+    forward = lambda v: np.bincount(p.ravel(), weights=np.repeat(v, most), minlength=size)
+    # A diagonal bound on the Hessian: each pattern touches at most so many rows.
     touch = np.bincount(p.ravel(), minlength=size).astype(float)
     touch[0] = 0
     step = 1 / np.maximum(1, touch[p].sum(1))
@@ -183,53 +200,78 @@ def nnls(pats: np.ndarray, target: np.ndarray, steps: int = NNLS_STEPS) -> np.nd
 class Plan:
     """Segments (length, first rank, end rank, origin, pieces a sequence, first sequence)."""
 
-    def __init__(self, counts: np.ndarray, capacity: int = CAPACITY, grid: int = GRID):
+    def __init__(self, counts: np.ndarray, capacity: int = CAPACITY, phases: tuple = PHASES):
+        self._begin(capacity)
+        for phase in phases:
+            self._patterns(counts, *phase)
+        self._finish(counts)
+
+    def _begin(self, capacity: int) -> None:
         self.capacity, self.sequences = capacity, 0
         self.segments: list[tuple[int, int, int, int, int, int]] = []
-        left = self._patterns(counts, grid)
-        self._best_fit(counts, left)
+        self.used = np.zeros(capacity + 1, np.int64)
+        self.open: dict[int, list[tuple[int, int]]] = {}  # room -> runs of (first sequence, sequences)
+
+    def _finish(self, counts: np.ndarray) -> None:
+        #: Sequences that patterns began, and tokens that they placed.
+        self.patterned, self.patterned_tokens = self.sequences, int((self.used * np.arange(self.capacity + 1)).sum())
+        self._best_fit(counts)
         seg = np.array(sorted(self.segments), np.int64).reshape(-1, 6)
         self.table = seg
         self.keys = (seg[:, 0] << 44) + seg[:, 1]
 
-    def _patterns(self, counts: np.ndarray, grid: int) -> np.ndarray:
+    def _patterns(self, counts: np.ndarray, grid: int, most: int, steps: int) -> None:
         units = self.capacity // grid
         cls = -(-np.arange(self.capacity + 1) // grid)
-        have = np.bincount(cls, weights=counts, minlength=units + 1).astype(np.int64)
-        taken = np.zeros(units + 1, np.int64)
-        pats = patterns(units)
-        x = nnls(pats, have.astype(float))
+        have = np.bincount(cls, weights=counts - self.used, minlength=units + 1).astype(np.int64)
+        have[0] = 0
+        pats = patterns(units, most)
+        x = nnls(pats, have.astype(float), steps)
         for k in np.argsort(-x, kind="stable"):
             if x[k] < 0.5:
                 break
             members, times = np.unique(pats[k][pats[k] > 0], return_counts=True)
-            n = int(min(np.floor(x[k] + 0.5), ((have - taken)[members] // times).min()))
+            n = int(min(np.floor(x[k] + 0.5), (have[members] // times).min()))
             if n <= 0:
                 continue
-            for m, per in zip(members, times, strict=True):
-                self._take(counts, int(m), grid, int(taken[m]), n * int(per), int(per))
-                taken[m] += n * per
+            dealt = []
+            for m, per in zip(members.tolist(), times.tolist(), strict=True):
+                dealt.append((per, self._take(counts, m, grid, n * per, per)))
+                have[m] -= n * per
+            self._leave_open(dealt, n)
             self.sequences += n
-        # Within a class, ranks run over its lengths in rising order.
-        first = np.zeros(self.capacity + 1, np.int64)
-        for m in range(1, units + 1):
-            base = 0
-            for length in range(grid * (m - 1) + 1, grid * m + 1):
-                first[length] = min(max(0, taken[m] - base), counts[length])
-                base += int(counts[length])
-        return first
-
-    def _take(self, counts: np.ndarray, m: int, grid: int, start: int, n: int, per: int) -> None:
-        base = 0
-        for length in range(grid * (m - 1) + 1, grid * m + 1):
-            a, b = max(start, base), min(start + n, base + int(counts[length]))
-            if a < b:
-                self.segments.append((length, a - base, b - base, start - base, per, self.sequences))
-            base += int(counts[length])
-
-    def _best_fit(self, counts: np.ndarray, first: np.ndarray) -> None:
-        open_: dict[int, list[tuple[int, int]]] = {}  # room -> runs of (first sequence, sequences)
-        room = np.zeros(self.capacity + 1, bool)
+
+    def _take(self, counts: np.ndarray, m: int, grid: int, n: int, per: int) -> list[tuple[int, int]]:
+        """The next n pieces of class m, longest first, ``per`` to each of the sequences to come; (first place, length) of each run of them."""
+        runs, place = [], 0
+        for length in range(grid * m, grid * (m - 1), -1):
+            k = min(n - place, int(counts[length] - self.used[length]))
+            if k > 0:
+                rank = int(self.used[length])
+                self.segments.append((length, rank, rank + k, rank - place, per, self.sequences))
+                runs.append((place, length))
+                self.used[length] += k
+                place += k
+        return runs
+
+    def _leave_open(self, dealt: list[tuple[int, list[tuple[int, int]]]], n: int) -> None:
+        """Notes the room in the n sequences that the runs of ``dealt`` were given to; it is the same between two breaks."""
+        breaks = {0, n}
+        for per, runs in dealt:
+            for place, _ in runs:
+                breaks |= {place // per, -(-place // per)}
+        edges = sorted(b for b in breaks if b <= n)
+        for a, z in zip(edges, edges[1:]):
+            room = self.capacity
+            for per, runs in dealt:
+                starts = [p for p, _ in runs]
+                room -= sum(runs[bisect_right(starts, a * per + t) - 1][1] for t in range(per))
+            if room > 0:
+                self.open.setdefault(room, []).append((self.sequences + a, z - a))
+
+    def _best_fit(self, counts: np.ndarray) -> None:
+        open_, room = self.open, np.zeros(self.capacity + 1, bool)
+        room[list(open_)] = True
 
         def put(length: int, rank: int, run: tuple[int, int], per: int, n: int, r: int) -> None:
             """The next n pieces go to the run's sequences, ``per`` to each (the last may get fewer)."""
@@ -241,7 +283,7 @@ class Plan:
                     room[more] = True
 
         for length in range(self.capacity, 0, -1):
-            rank, end = int(first[length]), int(counts[length])
+            rank, end = int(self.used[length]), int(counts[length])
             while rank < end:
                 fits = np.flatnonzero(room[length:])
                 if not len(fits):
@@ -269,13 +311,25 @@ class Plan:
         return seg[:, 5] + (rank - seg[:, 3]) // seg[:, 4]
 
 
+def best_plan(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
+    """With both phases or with the first alone, whichever needs fewer sequences; both on ties."""
+    both = Plan.__new__(Plan)
+    both._begin(capacity)
+    both._patterns(counts, *PHASES[0])
+    one = deepcopy(both)
+    both._patterns(counts, *PHASES[1])
+    for p in (both, one):
+        p._finish(counts)
+    return min((both, one), key=lambda p: p.sequences)
+
+
 def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """``pieces`` (with ``piece`` and ``length``) plus sequence_id and offset."""
     pieces = written(pieces, "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         counts[r["length"]] = r["count"]
-    plan = Plan(counts, capacity)
+    plan = best_plan(counts, capacity)
     salts = salts or max(16, int(counts.sum() // 1_000_000) + 1)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64(F.lit(8), key, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     before = (
@@ -301,7 +355,10 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, salts
 
 
 def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    return pack(pieces_of(df, path or default_vocabulary(), key, text, capacity), key, capacity)
+    """key, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row."""
+    rows = df.select(F.col(f"`{key}`").alias("row_key"), F.col(f"`{text}`").alias("row_text"))
+    out = pack(pieces_of(rows, path or default_vocabulary(), "row_key", "row_text", capacity), "row_key", capacity)
+    return out.select(F.col("row_key").alias(key), *[f.name for f in PIECES], "sequence_id", "offset")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
