@@ -181,7 +181,7 @@ def _first_pass(key: str, text: str, buckets: int, key_type: pa.DataType):
         by = np.argsort(bucket, kind="stable")
         one_h, one_f, bucket = one_h[by], one_f[by], bucket[by]
         b_ids, b_at = np.unique(bucket, return_index=True)
-        b_end = np.append(b_at[1:], len(bucket))
+        b_end = np.append(b_at, len(bucket))[1:]
         blobs = [one_h[a:z].astype("<u8").tobytes() + one_f[a:z].astype("<i8").tobytes() for a, z in zip(b_at, b_end, strict=True)]
         nm, ns, nb = batch.num_rows, len(s_fp), len(blobs)
         nulls = lambda k, t: pa.nulls(k, t)

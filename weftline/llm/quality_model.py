@@ -11,11 +11,12 @@ before; so a text's score is one sum over its words and texts of any length
 compare.
 
 Ratings: 0 poor, 1 good but toxic, 2 good.  Bound: fitted on at most
-``TRAIN_ROWS`` labelled rows, balanced by grade; intercepts then shift back to
+``TRAIN_ROWS`` labelled rows (``TRAIN_CHARS`` characters of each), balanced by grade; intercepts then shift back to
 the grades' own rates.
 
 Edge cases: null and empty texts have x = 0; grades that no row has leave their threshold at
-its neighbour's; repeated rows score alike.
+its neighbour's, and without any rating all texts grade alike; an id rated twice has its lower grade; repeated rows
+score alike; columns named as the results are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from pyspark.sql import types as T
 from weftline.llm.common import arrow_map, column, table
 
 TRAIN_ROWS = 3000
+#: A text of the training sample is read up to here (grading reads whole texts).
+TRAIN_CHARS = 100_000
 BUCKETS = 1 << 16
 STEPS = 150
 MEMO = 200_000
@@ -116,6 +119,8 @@ def design(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train(texts: list[str], grades: np.ndarray, k: int, rates: np.ndarray | None = None, l2: float = 1e-4) -> Ordinal:
     """Maximum likelihood by Adam; thresholds as a first cut and positive gaps."""
+    if not len(texts):
+        return Ordinal(np.zeros(BUCKETS, np.float32), np.arange(k - 1, dtype=float))
     rows, cols, vals = design(texts)
     n = len(texts)
     w, theta = np.zeros(BUCKETS), np.concatenate([[-1.0], np.zeros(k - 2)])
@@ -153,7 +158,7 @@ GRADES = 3
 
 def rated(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
-    return labels.filter(F.col("quality").isNotNull() & F.col(key).isNotNull()).select(key, grade.cast("int").alias("grade")).dropDuplicates([key])
+    return labels.filter(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(grade.cast("int")).alias("grade"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, skip_fold: int | None = None, key: str = "doc_id") -> Ordinal:
@@ -166,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, skip_fold: i
     for g in range(GRADES):
         some = r.filter(F.col("grade") == g).orderBy(F.xxhash64(F.lit(29), key), key).limit(rows // GRADES)
         picked = some if picked is None else picked.unionByName(some)
-    got = sorted(docs.select(key, "text").join(F.broadcast(picked), key).collect(), key=lambda x: x[key])
+    found = docs.select(key, F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(picked), key)
+    # Of several texts under one id the greatest counts, once.
+    got = sorted(found.groupBy(key).agg(F.max("grade").alias("grade"), F.max("text").alias("text")).collect(), key=lambda x: x[key])
     total = max(1, sum(counts.values()))
     rates = np.array([counts.get(g, 0) / total for g in range(GRADES)])
     return train([x["text"] or "" for x in got], np.array([x["grade"] for x in got], np.int64), GRADES, rates)

@@ -33,6 +33,8 @@ LOWER = bytes(range(0x61, 0x7B))
 
 #: At most this many rows are looked at to estimate cost and selectivity.
 SAMPLE_ROWS = 2000
+#: Of a sampled text so many characters are timed; the cascade itself reads whole texts.
+SAMPLE_CHARS = 100_000
 
 _HASH = WordHash()
 
@@ -122,7 +124,7 @@ def sample_texts(df: DataFrame, text: str, key: str, rows: int = SAMPLE_ROWS) ->
     """About ``rows`` texts (never more than twice that), spread over the table by a hash of ``key``."""
     n = df.count()
     step = max(1, n // rows)
-    got = df.filter(F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(step)) == 0).select(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("b")).limit(2 * rows).collect()
+    got = df.filter(F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(step)) == 0).select(F.encode(F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS), "UTF-8").alias("b")).limit(2 * rows).collect()
     return [bytes(r.b) for r in got]
 
 
