@@ -90,6 +90,7 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, rows: str, total: i
 
     Keys with more than a ``parts``-th of all rows (so at most ``parts`` keys, whatever the data) are broadcast, so that
     none of them goes to one task; the others are shuffled.  ``total`` is the sum of ``rows``, if it is known.
+    A ``small`` that is grouped by ``key`` in the same plan is shuffled once for all three uses.
     """
     if total is None:
         total = small.agg(F.sum(rows)).first()[0] or 0

@@ -260,17 +260,17 @@ def classes_and_candidates(df: DataFrame, key: str, text: str) -> tuple[DataFram
     j = per.join(reps, "fp").select(
         "fp", "n", "rep", F.when(judged, F.col("sampled") - allowance).otherwise(1).alias("least"), F.when(judged, F.filter("hs", lambda h: h < F.lit(CUT))).otherwise(F.col("hs")).alias("hs")
     )
-    left = write_table(j.filter(F.size("hs") >= F.col("least")), "remaining")
+    left = remaining = write_table(j.filter(F.size("hs") >= F.col("least")), "remaining")
     # Once more among what remains; then of each set's shared shingles, rarest first, all but the last `least` - 1:
     # two sets that share `least` of them still share one of those.
     each = left.select("fp", "least", F.explode("hs").alias("h"))
-    spread = write_table(each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "spread")
-    ranked = join_counted(each, spread, "h", "df").groupBy("fp").agg(F.first("least").alias("least"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    spread = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = join_counted(each, spread, "h", "df", left.agg(F.sum(F.size("hs"))).first()[0] or 0).groupBy("fp").agg(F.first("least").alias("least"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
     kept = ranked.filter(F.size("hs") >= F.col("least")).select(
         "fp", F.transform(F.slice("hs", F.lit(1), F.size("hs") - F.col("least").cast("int") + 1), lambda x: x["h"]).alias("hs")
     )
     candidates = write_table(left.select("fp", "n", "rep").join(kept, "fp"), "candidates")
-    discard(left, spread)
+    discard(remaining)
     for kind in "hs":
         remove_path(spark, f"{path}/kind={kind}")
     return texts.select(key, "n", "fp"), reps.select("fp", "rep", "copies"), candidates
@@ -357,8 +357,8 @@ def _sift(batches):
 
 def dealt_tasks(members: DataFrame, sets: DataFrame, every_pair: bool, parts: int) -> DataFrame:
     """Members (g, fp, label) of groups of two or more, with the columns of ``sets``, as tasks: a group, or a pair of its blocks."""
-    counts = write_table(members.groupBy("g").agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")), "groups")
-    m = join_counted(members, counts, "g", "rows").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    counts = members.groupBy("g").agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    m = join_counted(members, counts, "g", "rows", members.count()).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     last = F.col("blocks") - 1
     mine = F.struct(F.col("b").alias("i"), F.col("b").alias("j"))
     if every_pair:
@@ -405,23 +405,29 @@ def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> Dat
     tagged = write_table(of.select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("k", F.lit(1)).alias("k"), F.explode("hs").alias("g")), "tagged")
     # Sets of small components meet in the groups of their keys; a group that stands for the same sets as another is walked once.
     small, is_large = tagged.filter(F.col("k") < LARGE), F.col("k") >= LARGE
-    mixed = small.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("rows"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("who")).filter("a != z")
-    once = write_table(mixed.groupBy("rows", "who").agg(F.min("g").alias("g")).select("g", "rows"), "once")
-    chosen = write_table(join_counted(small, once, "g", "rows").select("g", "fp", "label"), "chosen")
+    own = lambda c: F.when(~is_large, c)
+    who = own(F.xxhash64("fp").cast("decimal(38,0)"))
+    keys = tagged.groupBy("g").agg(F.min(own(F.col("label"))).alias("a"), F.max(own(F.col("label"))).alias("z"), F.count_if(~is_large).alias("rows"), F.sum(who).alias("who"), F.count("*").alias("all"), F.max(is_large).alias("large"))
+    n = tagged.count()
+    hot = F.col("large") & (F.col("all") > max(SALT_ROWS, n // SALT_ROWS))
+    keys = write_table(keys.withColumn("hot", hot).filter("a != z or hot"), "keys")
+    once = keys.filter("a != z").groupBy("rows", "who").agg(F.min("g").alias("g")).select("g", "rows")
+    chosen = write_table(join_counted(small, once, "g", "rows", n).select("g", "fp", "label"), "chosen")
     near = write_table(sifted(chosen, sets, True, parts), "near")
-    # A set that shares a key with a large component is weighed against all of it, once.
-    keys = write_table(tagged.groupBy("g").agg(F.count("*").alias("rows"), F.max(is_large).alias("large")).filter("large").select("g", "rows"), "keys")
-    salts = F.ceil(F.col("rows") / SALT_ROWS).cast("int")
-    met = join_counted(tagged, keys, "g", "rows")
-    spots = met.filter(is_large).select("g", F.col("label").alias("whole"), "rows").distinct()
-    spots = spots.select("g", "whole", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    guests = met.withColumn("salt", F.pmod(F.xxhash64("fp"), salts).cast("int")).join(spots, ["g", "salt"]).filter("label != whole").select("whole", "fp", "label").distinct()
+    # A set that shares a key with a large component is weighed against all of it, once.  The commonest keys (a bounded number) are dealt under salts.
+    common = F.broadcast(keys.filter("hot").select("g", F.ceil(F.col("all") / SALT_ROWS).cast("int").alias("salts")))
+    spots = tagged.filter(is_large).select("g", F.col("label").alias("whole")).distinct()
+    plain = tagged.join(common, "g", "left_anti").join(spots, "g").select("fp", "label", "whole")
+    salted = tagged.join(common, "g").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
+    spread = spots.join(common, "g").select("g", "whole", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    met = plain.unionByName(salted.join(spread, ["g", "salt"]).select("fp", "label", "whole"))
+    guests = met.filter("label != whole").select("whole", "fp", "label").distinct()
     guests = write_table(guests, "guests")
     far = large_groups(guests, labels.select("node", "label"), sets, parts)
     both = write_table(near.unionByName(far), "sifted")
     second = write_table(group_links(both, sets, True, parts), "links")
     out = components(first.unionByName(second))
-    discard(sets, first, bare, labels, tagged, once, chosen, near, keys, guests, both, second)
+    discard(sets, first, bare, labels, tagged, chosen, near, keys, guests, both, second)
     return out
 
 
