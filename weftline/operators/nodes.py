@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.sources.html import parse
-from weftline.sources.selectors import Step, Test, compile_selector, nth
+from weftline.sources.selectors import Step, Test, compile_selector, evaluate, nth
 
 NODE = T.StructType(
     [
@@ -135,6 +135,22 @@ def select_nodes(table: DataFrame, selector: str) -> DataFrame:
     return out.dropDuplicates(["doc_id", "node_id"]) if len(compile_selector(selector)) > 1 else out
 
 
+def count_matches(pages: DataFrame, selectors: list[str], key: str = "page_id", html: str = "html") -> DataFrame:
+    """doc_id, selector, matches: every selector evaluated in one pass, each page parsed once."""
+    plans = [compile_selector(s) and s for s in selectors]  # a wrong selector fails here, not on an executor
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, found = batch.column(0).to_pylist(), []
+            for source in batch.column(1).to_pylist():
+                p = parse(source or "")
+                found += [len(evaluate(p, s)) for s in plans]
+            names = [pa.array([d for d in docs for _ in plans], pa.int64()), pa.array(plans * len(docs), pa.string()), pa.array(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays(names, names=["doc_id", "selector", "matches"])
+
+    return pages.select(F.col(key).cast("long").alias("doc_id"), F.col(html)).mapInArrow(run, "doc_id long, selector string, matches long")
+
+
 def descendants(table: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_id, root, node_id) of every element below each root."""
     r = roots.select(F.col("doc_id").alias("r_doc"), F.col("node_id").alias("root"), F.col("end_id").alias("r_end"))

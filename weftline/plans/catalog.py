@@ -16,7 +16,8 @@ from weftline.operators import extract as X
 from weftline.operators import nodes as N
 from weftline.operators import profile as P
 from weftline.operators import snapshot as D
-from weftline.session import table
+from weftline.plans import generated
+from weftline.session import staged, table
 from weftline.sources.specs import Field, Spec
 
 LINKS = Spec("links", "http://example.com/", {"label": Field("a"), "href": Field("a", attr="href")}, row="nav li")
@@ -50,8 +51,8 @@ LINK_COUNTS = """SELECT page_id, CAST(len(regexp_extract_all(html, '<a href="'))
 
 
 def selector_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The relational form of a selector: semi-joins on id ranges."""
-    n = N.nodes(pages(spark, d), text=False)
+    """The relational form of a selector: semi-joins on id ranges, over a node table that is parsed once."""
+    n = staged(N.nodes(pages(spark, d), text=False), "nodes")
     return N.select_nodes(n, "nav ul > li:nth-child(2n+1) a[href^='/']").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -103,6 +104,16 @@ def repeated_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("signature").agg(F.count("*").alias("groups"), F.sum("n").alias("members"))
 
 
+#: A paragraph that opens a ``b`` never closes it, so the paragraphs after it stand inside.
+REPEATED = """
+WITH g AS (
+  SELECT 'li.' AS signature, len(regexp_extract_all(html, '<li>')) AS n FROM pages
+  UNION ALL SELECT 'p.', len(unnest(string_split(array_to_string(regexp_extract_all(html, '<(p|b)>', 1), ''), 'b'))) FROM pages
+)
+SELECT signature, CAST(count(*) AS BIGINT) AS groups, CAST(sum(n) AS BIGINT) AS members FROM g WHERE n >= 4 GROUP BY signature
+"""
+
+
 def url_targets(spark: SparkSession, d: str) -> DataFrame:
     other = F.concat(F.regexp_replace("url", r"^(https?)://(www\.)?", "http://www."), F.when(F.pmod("page_id", F.lit(2)) == 0, "?x=1").otherwise(""))
     return pages(spark, d).select("page_id", S.url_host("url").alias("host"), S.url_path("url").alias("path"), S.same_target(F.col("url"), other).alias("same"), S.same_target(F.col("url"), F.lit("http://a.example/")).alias("other"))
@@ -231,7 +242,9 @@ prof AS (SELECT spec, ts, field, count(v) AS n, count(*) - count(v) AS nulls, me
 
 
 def _profile(daily: DataFrame) -> DataFrame:
-    return daily.groupBy("spec", "ts", "field").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("nulls"), F.median("v").alias("median"), F.min("v").alias("min"), F.max("v").alias("max"))
+    none = lambda t: F.lit(None).cast(t)
+    cells = daily.select("spec", "ts", "field", F.col("event_id").alias("row_index"), F.lit("1").alias("raw"), none("string").alias("v_str"), F.col("v").alias("v_num"), none("array<string>").alias("v_list"))
+    return P.summarise(cells, ["spec", "ts"])
 
 
 def profile_by_type(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +256,7 @@ PROFILE = f"WITH {_DAILY_SQL} SELECT ts, field, n, nulls, round(median, 6) AS me
 
 
 def drift_daily(spark: SparkSession, d: str) -> DataFrame:
-    h = _profile(_daily(spark, d)).withColumn("rows", F.col("n") + F.col("nulls"))
+    h = _profile(_daily(spark, d)).withColumn("rows", F.col("n") + F.col("nulls")).drop("kinds")
     return P.drift_over_time(h, limit=7).select("spec", "ts", "field", "code", F.round("change", 6).alias("change"))
 
 
@@ -291,12 +304,11 @@ SELECT user_group, event_type, n FROM (
 
 
 def latest_history(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_type", "event_id", "ts")
-    w = W.partitionBy("event_type").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return e.withColumn("r", F.row_number().over(w)).filter("r <= 30").select("event_type", "event_id", F.col("r").cast("long").alias("r"))
+    e = table(spark, d, "events").select("event_type", "event_id", F.struct("ts", "event_id").alias("at"))
+    return P.latest(e, 30, ["event_type"], "at").select("event_type", "event_id")
 
 
-LATEST = "SELECT event_type, event_id, r FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 30"
+LATEST = "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 30"
 
 
 # --- snapshots -----------------------------------------------------------------------------
@@ -439,18 +451,36 @@ def watch_fold(spark: SparkSession, d: str) -> DataFrame:
     return fold(r).groupBy("spec", "event").agg(F.count("*").alias("n"))
 
 
+#: The fold, a step a result: who rests only counts down; what is told is told once.
+WATCH_SQL = """
+WITH RECURSIVE r AS (
+  SELECT 'u' || (user_id % 100) AS spec, row_number() OVER (PARTITION BY user_id % 100 ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S'), event_id) AS i, event_id % 7 AS bad FROM events
+), s AS (
+  SELECT spec, CAST(0 AS BIGINT) AS i, '' AS condition, 0 AS failures, 0 AS cooldown, '' AS told, CAST(NULL AS VARCHAR) AS event FROM (SELECT DISTINCT spec FROM r)
+  UNION ALL
+  SELECT spec, i, CASE WHEN rests THEN condition ELSE now END, CASE WHEN rests THEN failures WHEN bad > 1 THEN 0 ELSE failures + 1 END,
+    CASE WHEN rests THEN cooldown - 1 WHEN bad > 1 THEN 0 WHEN bad = 0 THEN least(8, CAST(pow(2, least(failures + 1, 3)) AS INTEGER)) WHEN failures + 1 >= 4 THEN least(4, failures - 2) ELSE 0 END,
+    CASE WHEN NOT rests AND told_event IS NOT NULL AND now <> told THEN now ELSE told END, CASE WHEN NOT rests AND now <> told THEN told_event END
+  FROM (
+    SELECT s.spec, r.i, s.condition, s.failures, s.cooldown, s.told, r.bad, s.cooldown > 0 AS rests, CASE r.bad WHEN 0 THEN 'BLOCKED:-' WHEN 1 THEN 'LAYOUT_CHANGE:price' ELSE 'ok' END AS now,
+      CASE r.bad WHEN 0 THEN 'blocked' WHEN 1 THEN 'unrepaired' ELSE CASE WHEN s.condition NOT IN ('', 'ok') THEN 'recovered' END END AS told_event
+    FROM s JOIN r ON r.spec = s.spec AND r.i = s.i + 1)
+)
+SELECT spec, event, CAST(count(*) AS BIGINT) AS n FROM s WHERE event IS NOT NULL GROUP BY spec, event
+"""
+
 QUERIES = {
     "nav_links": nav_links, "link_counts": link_counts, "selector_plan": selector_plan, "element_tags": element_tags, "h1_titles": h1_titles,
     "page_cause": page_cause, "repeated_groups": repeated_groups, "url_targets": url_targets, "robots_allow": robots_allow, "parse_prices": parse_prices,
     "kind_histogram": kind_histogram, "shape_histogram": shape_histogram, "contract_lineitem": contract_lineitem, "profile_by_type": profile_by_type,
     "drift_daily": drift_daily, "drift_kind": drift_kind, "modal_type": modal_type, "latest_history": latest_history, "snapshot_diff": snapshot_diff, "snapshot_events": snapshot_events,
     "append_new": append_new, "csv_nation": csv_nation, "topk_lines": topk_lines, "class_jaccard": class_jaccard, "repair_moved_price": repair_moved_price,
-    "infer_specs": infer_specs, "watch_fold": watch_fold,
+    "infer_specs": infer_specs, "watch_fold": watch_fold, **generated.QUERIES,
 }
 SQL = {
     "nav_links": NAV_LINKS, "link_counts": LINK_COUNTS, "selector_plan": SELECTOR_PLAN, "element_tags": ELEMENT_TAGS, "h1_titles": H1_TITLES, "page_cause": PAGE_CAUSE,
     "url_targets": URL_TARGETS, "robots_allow": ROBOTS_SQL, "parse_prices": PARSE_PRICES, "kind_histogram": KIND_HISTOGRAM, "shape_histogram": SHAPE_HISTOGRAM,
     "contract_lineitem": CONTRACT_LINEITEM, "profile_by_type": PROFILE, "drift_daily": DRIFT_DAILY, "drift_kind": DRIFT_KIND, "modal_type": MODAL_TYPE, "latest_history": LATEST,
     "snapshot_diff": SNAPSHOT_DIFF, "snapshot_events": SNAPSHOT_EVENTS, "append_new": APPEND_NEW, "csv_nation": CSV_NATION, "topk_lines": TOPK, "class_jaccard": CLASS_JACCARD,
-    "repair_moved_price": REPAIR_SQL, "infer_specs": INFER_SQL,
+    "repair_moved_price": REPAIR_SQL, "infer_specs": INFER_SQL, "repeated_groups": REPEATED, "watch_fold": WATCH_SQL, **generated.SQL,
 }

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions.scalars import path_allowed as path_allowed_column
 from weftline.sources.html import parse
 from weftline.sources.selectors import evaluate
 
@@ -236,6 +237,17 @@ def rules_table(spark: SparkSession, urls: DataFrame, fetch: Fetcher, agent: str
     return urls.select(origin.alias("origin")).distinct().mapInPandas(run, "origin string, allow array<string>, disallow array<string>, crawl_delay double")
 
 
+def with_permission(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls`` (url) with ``allowed`` and ``crawl_delay`` by the rules of their origin; an origin without rules allows all."""
+    origin = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)", 1)
+    rest = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+([^#]*)", 1)
+    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    asked = urls.withColumn("_origin", origin).join(rules.withColumnRenamed("origin", "_origin"), "_origin", "left")
+    none = F.array().cast("array<string>")
+    verdict = path_allowed_column(F.coalesce(F.try_url_decode(path), path), F.coalesce("allow", none), F.coalesce("disallow", none))
+    return asked.withColumn("allowed", verdict).drop("_origin", "allow", "disallow")
+
+
 # --- archives ------------------------------------------------------------------------
 
 

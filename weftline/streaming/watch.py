@@ -31,12 +31,16 @@ class State:
 
 
 def condition_of(ok: bool, cause: str, unhealed: list[str], drift: list[str]) -> str:
+    if cause == "ERROR":
+        return "ERROR"
     if ok:
         return "drift:" + ",".join(sorted(drift)) if drift else "ok"
     return f"{cause}:{','.join(sorted(unhealed)) or '-'}"
 
 
 def event_for(ok: bool, cause: str, healed: list[str], unhealed: list[str], drift: list[str], before: str | None) -> str | None:
+    if cause == "ERROR":  # the run itself failed: counted, not told
+        return None
     if ok:
         if healed:
             return "repaired"
@@ -65,8 +69,9 @@ def advance(state: State | None, r: dict) -> tuple[State, dict | None]:
     event = event_for(r["ok"], r["cause"], healed, unhealed, drift, s.condition or None)
     failures = 0 if r["ok"] else s.failures + 1
     rest = 0 if r["ok"] else cooldown_for(failures, r["cause"])
-    send = event is not None and now != s.told or event in ("repaired", "recovered")
-    out = State(now, r["cause"], r["ts"] if now != s.condition else s.since, r["ts"], failures, rest, now if send or now == "ok" else s.told)
+    # Told once: what was told stays so until another condition is told.
+    send = event is not None and now != s.told
+    out = State(now, r["cause"], r["ts"] if now != s.condition else s.since, r["ts"], failures, rest, now if send else s.told)
     if not send:
         return out, None
     return out, {"spec": r["spec"], "ts": r["ts"], "event": event, "condition": now, "cause": r["cause"], "failures": failures, "cooldown": rest, "since": out.since}
