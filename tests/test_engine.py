@@ -189,7 +189,7 @@ def test_watch_cli_keeps_history_rows_and_rest(spark, tmp_path, monkeypatch):
     page, asked = {"html": catalogue(4)}, []
     fetch = lambda u: asked.append(u) or Fetched(200, u, page["html"], 0)
     scrape = api.scrape
-    monkeypatch.setattr(api, "scrape", lambda *a, **k: scrape(*a, fetch=fetch, **k))
+    monkeypatch.setattr(api, "scrape", lambda *a, **k: scrape(*a, **(k | {"fetch": fetch})))
     (tmp_path / "specs").mkdir()
     spec = replace(SPEC, output={"path": str(tmp_path / "out.jsonl"), "mode": "append", "key": "title"})
     (tmp_path / "specs" / f"{spec.name}.json").write_text(json.dumps(spec_to_dict(spec)))
@@ -273,3 +273,112 @@ def test_entry_registers_everything(spark):
 
     assert E.entry(spark).count() > 0
     assert set(E.oracle_sql()) <= set(E.queries()) and len(E.queries()) > 20
+
+
+def test_serialise():
+    from weftline.sources.html import parse, serialise
+
+    p = parse('<div id=a style="x" onclick=y data-q="1&quot;2" hidden>One  <b>two</b> 3 &lt; 4<script>no()</script><br>end<i><u><s>deep text</s></u></i></div>')
+    assert serialise(p, 1) == '<div id="a" data-q="1&quot;2" hidden>One <b>two</b> 3 &lt; 4<br>end<i><u><s>deep text</s></u></i></div>'
+    assert serialise(p, 1, max_depth=1) == '<div id="a" data-q="1&quot;2" hidden>One <b>two</b> 3 &lt; 4<br>end<i>deep text</i></div>'
+    assert serialise(p, 0, max_text=2).startswith('<div id="a"') and "On\u2026" in serialise(p, 0, max_text=2)
+
+
+def test_model_proposals():
+    from weftline.operators import model as M
+
+    assert M.read_answer('Sure:\n```json\n{"selectors": [" .a ", "", 3, ".a"], "note": "n"}\n```') == ([".a"], "n")
+    assert M.read_answer("none")[1] == "no json in reply" and M.read_answer("{x}")[1] == "unparseable json in reply" and M.read_answer('{"selectors": 1}')[0] == []
+    live, golden = parse(catalogue(4, cost="<q>{}</q>")), parse(catalogue(4))
+    asked = M.question(SPEC, live, [golden], "price")
+    assert "field price" in asked and "<q>" in asked and len(asked) <= M.PROMPT_CHARS + 10
+    waits, calls = [], []
+
+    def post(url, headers, body):
+        calls.append((url, headers, body))
+        if len(calls) == 1:
+            return 429, {"retry-after": "7"}, "busy"
+        if len(calls) == 2:
+            return 503, {}, "down"
+        return 200, {}, json.dumps({"choices": [{"message": {"content": '{"selectors": ["q"]}'}}]})
+
+    got = M.hosted_model({"model": "m"}, {"OPENAI_API_KEY": "k"}, post, waits.append)(SPEC, live, [golden], "price")
+    assert got == ["q"] and waits == [7.0, 2.0] and calls[0][0].endswith("/chat/completions") and calls[0][1]["Authorization"] == "Bearer k"
+    answers = {"anthropic": {"content": [{"type": "text", "text": "A"}]}, "gemini": {"candidates": [{"content": {"parts": [{"text": "A"}]}}]}, "ollama": {"message": {"content": "A"}}}
+    for name, reply in answers.items():
+        assert M.ask({"provider": name, "model": "m"}, "u", {k: "x" for k in M.PROVIDERS[name].keys}, lambda *a, r=reply: (200, {}, json.dumps(r))) == "A"
+    for config, env in (({}, {}), ({"provider": "openai", "model": "m"}, {}), ({"provider": "none", "model": "m"}, {}), ({"provider": "ollama"}, {})):
+        with pytest.raises(M.ModelError):
+            M.ask(config, "u", env, post)
+    with pytest.raises(M.ModelError):
+        M.ask({"provider": "ollama", "model": "m"}, "u", {}, lambda *a: (400, {}, "bad"))
+    assert M.model_finding(True, {})[0] == "error" and M.model_finding(None, {}) is None and M.model_finding({"provider": "ollama"}, {}) is None
+
+
+def test_a_pace_a_host_keeps_and_robots_are_asked_again():
+    from weftline.sources import web as Web
+
+    now, slept, asked = [0.0], [], []
+    robots = "User-agent: *\nCrawl-delay: 5\nDisallow: /no"
+    fetch = lambda u, **k: asked.append(u) or Fetched(200, u, robots, 0)
+    gate = Web.RobotsGate(fetch, ttl=100, clock=lambda: now[0])
+    assert gate("http://a/yes") and not gate("http://a/no") and len(asked) == 1
+    now[0] = 101.0
+    assert gate("http://a/yes") and len(asked) == 2
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    paced = Web.polite(fetch, 1.0, gate, clock=lambda: now[0], sleep=sleep)
+    for u in ("http://a/1", "http://a/2", "http://b/1", "http://a/3"):
+        paced(u)
+    assert slept == [5.0, 5.0]
+
+
+def test_browser_fetcher():
+    from weftline.sources import browser as B
+
+    class Fake:
+        def __init__(self):
+            self.url, self.aborted = "http://a/end", []
+            self.status = 200
+
+        def new_context(self, **k):
+            return self
+
+        new_page = goto = lambda self, *a, **k: self
+
+        def route(self, pattern, handler):
+            for kind in ("image", "document"):
+                request = type("R", (), {"resource_type": kind})
+                handler(type("Route", (), {"request": request, "abort": lambda s: self.aborted.append(kind), "continue_": lambda s: None})())
+
+        def content(self):
+            return "<p>shown"
+
+        def wait_for_selector(self, s, timeout):
+            if s == ".never":
+                raise TimeoutError(s)
+
+        def close(self):
+            pass
+
+    fake = Fake()
+    got = B.browser_fetch(lambda: fake, wait_for="p")("http://a/")
+    assert (got.status, got.final_url, got.html) == (200, "http://a/end", "<p>shown") and fake.aborted == ["image"]
+    assert B.browser_fetch(lambda: fake, wait_for=".never")("http://a/").status == 0
+    if not B.available():
+        with pytest.raises(B.BrowserMissing):
+            B.browser_fetch()("http://a/")
+
+
+def test_all_specs_run_though_one_fails(spark):
+    def fetch(url):
+        if url.endswith("bad"):
+            raise ValueError("broken fetcher")
+        return Fetched(200, url, catalogue(4), 0)
+
+    specs = [replace(SPEC, name=n, url=f"http://e/{n}") for n in ("one", "bad", "two")]
+    got = api.scrape_all(spark, specs, concurrency=2, fetch=fetch)
+    assert [(c.spec.name, c.cause) for c in got] == [("one", "OK"), ("bad", "ERROR"), ("two", "OK")]

@@ -10,15 +10,17 @@ import datetime as dt
 import json
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+from weftline.operators.model import hosted_model
 from weftline.operators.repair import repair
 from weftline.plans import api
 from weftline.session import get_spark
 from weftline.sources.html import parse
 from weftline.sources.selectors import SelectorError
 from weftline.sources.specs import SpecError, load_settings, load_spec, load_specs, patch_spec_file, spec_to_dict
-from weftline.sources.web import AuthError, http_fetch, load_fixtures, robots_gate, save_fixture
+from weftline.sources.web import AuthError, RobotsGate, http_fetch, load_fixtures, polite, robots_gate, save_fixture
 from weftline.streaming.notify import dispatch, notifiers
 from weftline.streaming.watch import advance
 
@@ -129,15 +131,29 @@ def _watch_once(args) -> int:
     settings, spark, failed = load_settings("."), get_spark(), 0
     channels = notifiers(settings.notify or [{"type": "console"}])
     allowed = robots_gate()
+    awake = []
     for spec in load_specs(args.specs):
         resting = state.get(spec.name)
         if resting and resting.cooldown > 0:
             state[spec.name], _ = advance(resting, {})
-            continue
-        c = api.scrape(
-            spark, spec, archive=load_fixtures(args.fixtures, spec.name), heal=settings.heal != "off", allowed=allowed,
-            output=settings.output, state=args.fixtures, history_root=args.history or args.fixtures, record=True,
-        )
+        else:
+            awake.append(spec)
+    fetch = polite(http_fetch, float(settings.politeness.get("delay") or 0), allowed if isinstance(allowed, RobotsGate) else None)
+
+    model = hosted_model(settings.model) if settings.model else None
+
+    def run(spec):
+        try:
+            return api.scrape(
+                spark, spec, archive=load_fixtures(args.fixtures, spec.name), heal=settings.heal != "off", model=model, allowed=allowed, output=settings.output, state=args.fixtures,
+                history_root=args.history or args.fixtures, record=True, fetch=fetch,
+            )
+        except Exception as e:  # one target's fault neither ends the cycle nor loses the state
+            return api.Check(spec, "ERROR", f"{type(e).__name__}: {e}", None)
+
+    with ThreadPoolExecutor(max(1, settings.concurrency)) as pool:
+        found = list(pool.map(run, awake))
+    for spec, c in zip(awake, found, strict=True):
         r = c.repair
         result = {
             "spec": spec.name, "ts": dt.datetime.now(dt.UTC).isoformat(), "ok": c.ok, "cause": c.cause,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -14,7 +15,10 @@ from weftline.operators import extract as X
 from weftline.operators import profile as P
 from weftline.operators import snapshot as D
 from weftline.operators.infer import infer_spec
+from weftline.operators.model import model_finding
 from weftline.operators.repair import Model, Repair, repair
+from weftline.operators.repair import violations as page_violations
+from weftline.sources import browser
 from weftline.sources.html import parse
 from weftline.sources.specs import Settings, Spec, load_spec, spec_from_dict, spec_to_dict
 from weftline.sources.web import AuthError, Fetched, Fetcher, auth_headers, http_fetch, load_fixtures, paginate
@@ -100,10 +104,13 @@ def check(
         now = run_record(judged.select(F.lit(ts).alias("ts"), "found"), spec)
         seeds = None
         for source, page in archive:
+            if page_violations(parse(page), spec):
+                continue  # a page that fails its contract is no reference
             seed = run_record(X.scan(spark.createDataFrame([(f"fixture:{source}", page)], "ts string, html string"), spec), spec)
             seeds = seed if seeds is None else seeds.unionByName(seed)
         base = P.baseline(history, seeds, ts) if history is not None else seeds
-        out.drift = [d.asDict() for d in P.detect_drift(base, now).collect()]
+        if base is not None:
+            out.drift = [d.asDict() for d in P.detect_drift(base, now).collect()]
         if record and history_root is not None:
             P.append_run(history_root, spec.name, now)
     return out
@@ -146,8 +153,17 @@ def _healed(spark: SparkSession, spec: Spec, html: str | None, archive: list[tup
     return second
 
 
-def scrape_all(spark: SparkSession, specs: list[Spec], **options) -> list[Check]:
-    return [scrape(spark, s, **options) for s in specs]
+def scrape_all(spark: SparkSession, specs: list[Spec], concurrency: int = 4, **options) -> list[Check]:
+    """All specs, ``concurrency`` at a time, in their order; one that fails outright is an ``ERROR`` and stops no other."""
+
+    def one(spec: Spec) -> Check:
+        try:
+            return scrape(spark, spec, **options)
+        except Exception as e:  # a fault of one target is its own
+            return Check(spec, "ERROR", f"{type(e).__name__}: {e}", None)
+
+    with ThreadPoolExecutor(max(1, concurrency)) as pool:
+        return list(pool.map(one, specs))
 
 
 def rows(spark: SparkSession, spec: Spec | dict | str, **options) -> DataFrame:
@@ -199,9 +215,7 @@ def doctor(specs: list[Spec], settings: Settings, fixtures_root: str, history_ru
     hosts: dict[str, int] = {}
     for s in specs:
         archive = load_fixtures(fixtures_root, s.name)
-        from weftline.operators.repair import violations
-
-        good = [n for n, h in archive if not violations(parse(h), s)]
+        good = [n for n, h in archive if not page_violations(parse(h), s)]
         if not archive:
             out.append(("error", s.name, "no archived page: nothing can be repaired"))
         elif not good:
@@ -226,6 +240,14 @@ def doctor(specs: list[Spec], settings: Settings, fixtures_root: str, history_ru
     for c in settings.notify:
         if c.get("urlEnv") and not env.get(c["urlEnv"]):
             out.append(("error", "", f"{c['type']}: {c['urlEnv']} is not set"))
+    wanted = model_finding(settings.model, env)
+    if wanted:
+        out.append(wanted)
+    for s in specs:
+        if getattr(s, "render", None) and not browser.available():
+            out.append(("error", s.name, "asks for a browser, and none is installed"))
+    if not settings.notify:
+        out.append(("warn", "", "nobody is told when a target breaks"))
     if settings.heal == "off":
         out.append(("info", "", "repair is switched off"))
     return out

@@ -222,3 +222,43 @@ def parse(html: str) -> TextPage:
         pending = at
     shut(0)
     return page
+
+
+_ESCAPED = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"})
+
+
+def escape(s: str) -> str:
+    return s.translate(_ESCAPED)
+
+
+def _noise(attr: str) -> bool:
+    return attr in ("style", "srcset", "sizes") or attr.startswith("on")
+
+
+def serialise(page: Page, k: int = 0, max_depth: int = 6, max_text: int = 200, drop=_noise) -> str:
+    """An element as markup, for reading: no raw text, no noise, white space as one space, long runs and deep parts cut."""
+
+    def words(run: str) -> str:
+        t = _SPACES.sub(" ", run)
+        return "" if not t.strip() else escape(t[:max_text] + "\u2026" if len(t) > max_text else t)
+
+    def inside(k: int, depth: int) -> str:
+        # Between two children stand the runs from the end of the one to the start of the other.
+        out, at = [], page.first[k]
+        for child in page.children(k):
+            out += map(words, page.runs[at : page.first[child]])
+            out.append(element(child, depth))
+            at = page.last[child]
+        return "".join([*out, *map(words, page.runs[at : page.last[k]])])
+
+    def element(k: int, depth: int) -> str:
+        tag = page.tag[k]
+        if tag in RAW:
+            return ""
+        attrs = "".join(f" {a}" if v == "" else f' {a}="{escape(v)}"' for a, v in page.attrs[k].items() if not drop(a))
+        if tag in VOID:
+            return f"<{tag}{attrs}>"
+        inner = escape(page.norm_text(k)[:max_text]) if depth >= max_depth else inside(k, depth + 1)
+        return f"<{tag}{attrs}>{inner}</{tag}>"
+
+    return inside(0, 0) if k == 0 else element(k, 0)

@@ -155,6 +155,8 @@ class Settings:
     notify: list = field(default_factory=list)
     politeness: dict = field(default_factory=dict)
     output: dict | None = None
+    #: Provider, model and the like, as ``operators.model`` reads them.
+    model: dict | None = None
 
 
 def parse_duration(text: str | float) -> float:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -206,19 +207,46 @@ def path_allowed(rules: Rules, path: str) -> bool:
     return no == -1 or longest(rules.allow) >= no
 
 
-def robots_gate(fetch: Fetcher = http_fetch, agent: str = USER_AGENT) -> Callable[[str], bool]:
-    """A test of URLs by their origin's robots.txt, which is asked once; whatever is not 2xx allows all."""
-    known: dict[str, Rules] = {}
+class RobotsGate:
+    """A test of URLs by their origin's robots.txt; whatever is not 2xx allows all.  An answer is good for ``ttl`` seconds."""
 
-    def allowed(url: str) -> bool:
+    def __init__(self, fetch: Fetcher = http_fetch, agent: str = USER_AGENT, ttl: float = 3600, clock: Callable[[], float] = time.monotonic):
+        self.fetch, self.agent, self.ttl, self.clock = fetch, agent, ttl, clock
+        self.known: dict[str, tuple[float, Rules]] = {}
+
+    def rules(self, url: str) -> Rules:
         u = urlsplit(url)
         origin = f"{u.scheme}://{u.netloc}"
-        if origin not in known:
-            got = fetch(f"{origin}/robots.txt")
-            known[origin] = parse_robots(got.html, agent) if 200 <= got.status < 300 else Rules()
-        return path_allowed(known[origin], unquote(u.path or "/") + (f"?{u.query}" if u.query else ""))
+        if origin not in self.known or self.clock() - self.known[origin][0] > self.ttl:
+            got = self.fetch(f"{origin}/robots.txt")
+            self.known[origin] = self.clock(), parse_robots(got.html, self.agent) if 200 <= got.status < 300 else Rules()
+        return self.known[origin][1]
+
+    def __call__(self, url: str) -> bool:
+        u = urlsplit(url)
+        return path_allowed(self.rules(url), unquote(u.path or "/") + (f"?{u.query}" if u.query else ""))
+
+
+def robots_gate(fetch: Fetcher = http_fetch, agent: str = USER_AGENT) -> RobotsGate:
+    return RobotsGate(fetch, agent)
+
+
+def polite(fetch: Fetcher, delay: float = 0.0, gate: RobotsGate | None = None, most: float = 60.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Fetcher:
+    """``fetch`` at a host's pace: at least ``delay`` seconds between two calls, or its crawl-delay if that is longer (``most`` at most). Threads wait in turn."""
+    lock, free = threading.Lock(), {}
+
+    def paced(url: str, **options) -> Fetched:
+        asked = gate.rules(url).crawl_delay if gate is not None else None
+        pause = min(most, max(delay, asked or 0.0))
+        with lock:  # the next free moment of the host is taken before the wait
+            host = urlsplit(url).netloc
+            at = max(clock(), free.get(host, 0.0))
+            free[host] = at + pause
+        if at > clock():
+            sleep(at - clock())
+        return fetch(url, **options)
 
-    return allowed
+    return paced
 
 
 def rules_table(spark: SparkSession, urls: DataFrame, fetch: Fetcher, agent: str = USER_AGENT) -> DataFrame:
