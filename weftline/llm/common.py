@@ -85,16 +85,17 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
-def join_counted(big: DataFrame, small: DataFrame, key: str, rows: str, total: int | None = None, least: int = 256, parts: int = 4096) -> DataFrame:
-    """Inner join of ``big`` with ``small``, which has one row a key and in ``rows`` how many rows of ``big`` hold the key.
+def join_counted(big: DataFrame, small: DataFrame, key: str, rows: str, least: int = 256, parts: int = 4096) -> DataFrame:
+    """Inner join of ``big`` with the stored table ``small``, which has one row a key and in ``rows`` how many rows of ``big`` hold the key.
 
     Keys with more than a ``parts``-th of all rows (so at most ``parts`` keys, whatever the data) are broadcast, so that
-    none of them goes to one task; the others are shuffled.  ``total`` is the sum of ``rows``, if it is known.
-    A ``small`` that is grouped by ``key`` in the same plan is shuffled once for all three uses.
+    none of them goes to one task; the others are shuffled.  Where no key is so common it is a plain join.
     """
-    if total is None:
-        total = small.agg(F.sum(rows)).first()[0] or 0
-    hot = F.col(rows) > max(least, total // parts)
+    total, most = small.agg(F.sum(rows), F.max(rows)).first()
+    limit = max(least, (total or 0) // parts)
+    if (most or 0) <= limit:
+        return big.join(small, key)
+    hot = F.col(rows) > limit
     common = small.filter(hot)
     return big.join(F.broadcast(common), key).unionByName(big.join(F.broadcast(common.select(key)), key, "left_anti").join(small.filter(~hot), key))
 

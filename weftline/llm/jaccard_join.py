@@ -22,8 +22,9 @@ Large groups are split into blocks.  In the first round block meets block in a
 chain, since it only has to find most links; in the second each pair of blocks
 meets.  Rows that do not remain are never shuffled with their texts.
 
-Keys, components and classes that many rows share are never one task's work: such rows meet
-the other side by broadcast (a bounded number of keys) or under a salt.
+Classes and large components that many rows share are never one task's work: their rows meet
+the other side by broadcast (a bounded number of keys), and the commonest keys of large components
+meet under a salt.  Joins of rows of a few numbers elsewhere are left to adaptive execution, which splits a long partition.
 
 Edge cases: null and empty texts have no shingles and link with nothing (the
 component is their own id); an empty table gives an empty result; columns other than
@@ -265,7 +266,7 @@ def classes_and_candidates(df: DataFrame, key: str, text: str) -> tuple[DataFram
     # two sets that share `least` of them still share one of those.
     each = left.select("fp", "least", F.explode("hs").alias("h"))
     spread = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = join_counted(each, spread, "h", "df", left.agg(F.sum(F.size("hs"))).first()[0] or 0).groupBy("fp").agg(F.first("least").alias("least"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    ranked = each.join(spread, "h").groupBy("fp").agg(F.first("least").alias("least"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
     kept = ranked.filter(F.size("hs") >= F.col("least")).select(
         "fp", F.transform(F.slice("hs", F.lit(1), F.size("hs") - F.col("least").cast("int") + 1), lambda x: x["h"]).alias("hs")
     )
@@ -358,7 +359,7 @@ def _sift(batches):
 def dealt_tasks(members: DataFrame, sets: DataFrame, every_pair: bool, parts: int) -> DataFrame:
     """Members (g, fp, label) of groups of two or more, with the columns of ``sets``, as tasks: a group, or a pair of its blocks."""
     counts = members.groupBy("g").agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    m = join_counted(members, counts, "g", "rows", members.count()).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    m = members.join(counts, "g").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     last = F.col("blocks") - 1
     mine = F.struct(F.col("b").alias("i"), F.col("b").alias("j"))
     if every_pair:
@@ -399,7 +400,7 @@ def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> Dat
     discard(sift)
     bare = components(first)
     sizes = bare.groupBy("label").agg(F.count("*").alias("k"))
-    labels = write_table(join_counted(bare, sizes, "label", "k", bare.count()), "labels")
+    labels = write_table(bare.join(sizes, "label"), "labels")
     # Second round: keys whose sets are in two components or more.
     of = left.join(labels, left["fp"] == labels["node"], "left")
     tagged = write_table(of.select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("k", F.lit(1)).alias("k"), F.explode("hs").alias("g")), "tagged")
@@ -412,22 +413,24 @@ def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> Dat
     hot = F.col("large") & (F.col("all") > max(SALT_ROWS, n // SALT_ROWS))
     keys = write_table(keys.withColumn("hot", hot).filter("a != z or hot"), "keys")
     once = keys.filter("a != z").groupBy("rows", "who").agg(F.min("g").alias("g")).select("g", "rows")
-    chosen = write_table(join_counted(small, once, "g", "rows", n).select("g", "fp", "label"), "chosen")
-    near = write_table(sifted(chosen, sets, True, parts), "near")
+    near = sifted(small.join(once, "g").select("g", "fp", "label"), sets, True, parts)
     # A set that shares a key with a large component is weighed against all of it, once.  The commonest keys (a bounded number) are dealt under salts.
-    common = F.broadcast(keys.filter("hot").select("g", F.ceil(F.col("all") / SALT_ROWS).cast("int").alias("salts")))
     spots = tagged.filter(is_large).select("g", F.col("label").alias("whole")).distinct()
-    plain = tagged.join(common, "g", "left_anti").join(spots, "g").select("fp", "label", "whole")
-    salted = tagged.join(common, "g").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
-    spread = spots.join(common, "g").select("g", "whole", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    met = plain.unionByName(salted.join(spread, ["g", "salt"]).select("fp", "label", "whole"))
+    if keys.filter("hot").isEmpty():
+        met = tagged.join(spots, "g").select("fp", "label", "whole")
+    else:
+        common = F.broadcast(keys.filter("hot").select("g", F.ceil(F.col("all") / SALT_ROWS).cast("int").alias("salts")))
+        plain = tagged.join(common, "g", "left_anti").join(spots, "g").select("fp", "label", "whole")
+        salted = tagged.join(common, "g").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
+        spread = spots.join(common, "g").select("g", "whole", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        met = plain.unionByName(salted.join(spread, ["g", "salt"]).select("fp", "label", "whole"))
     guests = met.filter("label != whole").select("whole", "fp", "label").distinct()
     guests = write_table(guests, "guests")
     far = large_groups(guests, labels.select("node", "label"), sets, parts)
     both = write_table(near.unionByName(far), "sifted")
     second = write_table(group_links(both, sets, True, parts), "links")
     out = components(first.unionByName(second))
-    discard(sets, first, bare, labels, tagged, chosen, near, keys, guests, both, second)
+    discard(sets, first, bare, labels, tagged, keys, guests, both, second)
     return out
 
 
@@ -456,8 +459,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = df.select(F.col(f"`{key}`").alias("row_key"), F.col(f"`{text}`").cast("string").alias("row_text"))
     texts, reps, left = classes_and_candidates(rows, "row_key", "row_text")
     labels = component_labels(rows, left, "row_key", "row_text")
-    least = labels.join(reps, labels["node"] == reps["fp"]).groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("k"))
-    moved = join_counted(labels, least, "label", "k", labels.count()).select(F.col("node").alias("fp"), "least")
+    least = labels.join(reps, labels["node"] == reps["fp"]).groupBy("label").agg(F.min("rep").alias("least"))
+    moved = labels.join(least, "label").select(F.col("node").alias("fp"), "least")
     named = write_table(reps.join(moved, "fp", "left").select("fp", "copies", F.coalesce("least", "rep").alias("component_id")), "named")
     discard(left, labels)
     # Equal texts make `fp` a hot key.
