@@ -113,7 +113,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 class WordHash(dict):
     """64-bit hash of a word, remembered; forgets everything past ``limit`` words."""
 
-    limit = 300_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -40,7 +40,7 @@ CAPACITY = 4096
 END_ID = 1
 #: (width of a length class, most pieces of a pattern, steps of the fit), in the order of use.
 PHASES = ((4, 3, 1200), (32, 5, 300))
-MEMO = 500_000
+MEMO = 200_000
 
 
 class ChunkTokenizer:
