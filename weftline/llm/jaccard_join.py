@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from weftline.llm.common import arrow_map, column, discard, fresh_path, join_counted, mix64, remove_path, table, window_hash
+from weftline.llm.common import arrow_map, column, discard, fresh_path, join_counted, mix64, remove_path, slices, table, window_hash
 from weftline.llm.common import written as write_table
 from weftline.llm.components import components
 from weftline.llm.signature_tree import bitmap, possible_groups, tree_links, width
@@ -223,7 +223,7 @@ def _shared_in_buckets(batches):
         return pa.RecordBatch.from_arrays([pa.array(f[keep]), pa.array(h[keep].astype(np.int64))], names=["fp", "h"])
 
     now, held = None, []
-    for batch in batches:
+    for batch in slices(batches, 16):
         for b, blob in zip(column(batch, "bucket").to_pylist(), column(batch, "blob").to_pylist(), strict=True):
             if b != now and held:
                 if (got := shared(held)) is not None:
@@ -306,7 +306,7 @@ def remaining_sets(df: DataFrame, left: DataFrame, key: str, text: str) -> DataF
 def _tasks(batches, names: tuple[str, ...]):
     """Rows come sorted by task: (task, its rows)."""
     now, held = None, []
-    for batch in batches:
+    for batch in slices(batches, 64):
         for task, *row in zip(*(column(batch, c).to_pylist() for c in ("task", *names)), strict=True):
             if task != now and held:
                 yield now, held
