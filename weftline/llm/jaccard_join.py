@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from weftline.llm.common import arrow_map, column, discard, fresh_path, join_counted, mix64, remove_path, slices, table, window_hash
+from weftline.llm.common import arrow_map, column, discard, fresh_path, join_counted, map_batches, mix64, remove_path, slices, table, window_hash
 from weftline.llm.common import written as write_table
 from weftline.llm.components import components
 from weftline.llm.signature_tree import bitmap, possible_groups, tree_links, width
@@ -54,6 +54,8 @@ SAMPLE = 0.4
 TOP = 1 << 63
 CUT = int(SAMPLE * TOP)
 BLOCK = 512
+#: Bytes of a text that are hashed at a time.
+PIECE = 1 << 16
 #: From this many sets on, a component of the first round is compared as a whole, not key by key.
 LARGE = 16
 #: Rows of one key that meet its large components under one salt.
@@ -73,7 +75,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 class Powers:
-    """Powers of the hash's base and of its inverse, grown to the longest text seen."""
+    """Powers of the hash's base and of its inverse, grown to the longest piece seen."""
 
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
@@ -89,15 +91,24 @@ _POWERS = Powers()
 
 
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, first byte) of each word of ``raw`` (bytes), A-Z as a-z."""
-    n = len(raw)
-    _POWERS.to(n + 1)
-    space = _SPACE[raw]
-    edge = np.diff(np.concatenate([[True], space, [True]]).view(np.int8))
+    """(64-bit hash, first byte) of each word of ``raw`` (bytes), A-Z as a-z.
+
+    Worked off in pieces of ``PIECE`` bytes of whole words, so that only a longer word needs more room.
+    """
+    edge = np.diff(np.concatenate([[True], _SPACE[raw], [True]]).view(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[_FOLD[raw]] * _POWERS.up[:n])])
-    h = (total[ends] - total[starts]) * _POWERS.down[starts]
-    return mix64(h + (ends - starts).astype(np.uint64)), starts
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        a = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, a + PIECE, "right")))
+        part = raw[a : ends[to - 1]]
+        _POWERS.to(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[_FOLD[part]] * _POWERS.up[: len(part)], out=total[1:])
+        out[at:to] = (total[ends[at:to] - a] - total[starts[at:to] - a]) * _POWERS.down[starts[at:to] - a]
+        at = to
+    return mix64(out + (ends - starts).astype(np.uint64)), starts
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -253,7 +264,7 @@ def classes_and_candidates(df: DataFrame, key: str, text: str) -> tuple[DataFram
     texts = stored.filter("kind = 'm'").select(key, "fp", "n", "sampled", "last")
     reps = texts.filter("n > 0").groupBy("fp").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.first("last").alias("last"), F.count("*").alias("copies"))
     dealt = stored.filter("kind = 'h'").select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(_shared_in_buckets, "fp long, h long").unionByName(stored.filter("kind = 's'").select("fp", F.col("last").alias("h")))
+    shared = map_batches(dealt, _shared_in_buckets, "fp long, h long").unionByName(stored.filter("kind = 's'").select("fp", F.col("last").alias("h")))
     per = shared.groupBy("fp").agg(F.array_sort(F.collect_set("h")).alias("hs"))
     # Of a set's sampled shingles a partner shares `least`; a set whose sample is no longer than its prefix is not judged by it.
     allowance = F.floor(F.col("n") / 4)
@@ -380,12 +391,12 @@ def dealt_tasks(members: DataFrame, sets: DataFrame, every_pair: bool, parts: in
 
 def group_links(members: DataFrame, sets: DataFrame, every_pair: bool, parts: int) -> DataFrame:
     """Links found in the groups of ``members``."""
-    return dealt_tasks(members, sets.select("fp", "tokens"), every_pair, parts).mapInArrow(_walk, "u long, v long")
+    return map_batches(dealt_tasks(members, sets.select("fp", "tokens"), every_pair, parts), _walk, "u long, v long")
 
 
 def sifted(members: DataFrame, sets: DataFrame, every_pair: bool, parts: int) -> DataFrame:
     """Groups (g, fp, label), each once, of sets that may be linked across labels by their bitmaps."""
-    return dealt_tasks(members, bits_of(sets), every_pair, parts).mapInArrow(_sift, "g long, fp long, label long").distinct()
+    return map_batches(dealt_tasks(members, bits_of(sets), every_pair, parts), _sift, "g long, fp long, label long").distinct()
 
 
 def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> DataFrame:
@@ -447,7 +458,7 @@ def large_groups(guests: DataFrame, labels: DataFrame, sets: DataFrame, parts: i
     left = homes.select("whole", "fp", "label", spot("near").alias("i"), every("far").alias("j")).select(task("i", "j").alias("task"), F.lit(0).alias("side"), "fp", "label")
     right = join_counted(guests, sized, "whole", "guests").select("whole", "fp", "label", spot("far").alias("j"), every("near").alias("i")).select(task("i", "j").alias("task"), F.lit(1).alias("side"), "fp", "label")
     dealt = left.unionByName(right).join(bits_of(sets), "fp").repartition(parts, "task").sortWithinPartitions("task", "side", "fp")
-    return dealt.mapInArrow(_sift, "g long, fp long, label long").distinct()
+    return map_batches(dealt, _sift, "g long, fp long, label long").distinct()
 
 
 def bits_of(sets: DataFrame) -> DataFrame:
