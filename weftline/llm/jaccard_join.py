@@ -399,6 +399,17 @@ def sifted(members: DataFrame, sets: DataFrame, every_pair: bool, parts: int) ->
     return map_batches(dealt_tasks(members, bits_of(sets), every_pair, parts), _sift, "g long, fp long, label long").distinct()
 
 
+def merged(groups: DataFrame) -> DataFrame:
+    """``groups`` (g, fp, label), each taken whole into the largest group that any of its sets is in.
+
+    Groups of like sets overlap in most of them; a set then travels about once, and every two sets of a group still meet.
+    """
+    sized = groups.join(groups.groupBy("g").agg(F.count("*").alias("size")), "g")
+    best = sized.groupBy("fp").agg(F.max(F.struct("size", "g")).alias("best"))
+    to = sized.join(best, "fp").groupBy("g").agg(F.max("best").alias("best")).select("g", F.col("best.g").alias("to"))
+    return groups.join(to, "g").select(F.col("to").alias("g"), "fp", "label").distinct()
+
+
 def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> DataFrame:
     """node (fp), label (fp of the component) of all classes that link with another."""
     spark = df.sparkSession
@@ -439,9 +450,10 @@ def component_labels(df: DataFrame, left: DataFrame, key: str, text: str) -> Dat
     guests = write_table(guests, "guests")
     far = large_groups(guests, labels.select("node", "label"), sets, parts)
     both = write_table(near.unionByName(far), "sifted")
-    second = write_table(group_links(both, sets, True, parts), "links")
+    whole = write_table(merged(both), "merged")
+    second = write_table(group_links(whole, sets, True, parts), "links")
     out = components(first.unionByName(second))
-    discard(sets, first, bare, labels, tagged, keys, guests, both, second)
+    discard(sets, first, bare, labels, tagged, keys, guests, both, whole, second)
     return out
 
 
