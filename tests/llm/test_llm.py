@@ -557,3 +557,16 @@ def test_packing_ids_are_the_librarys():
     texts = ["", " ", "É!!\n", *("".join(rnd.choices(parts, k=rnd.randint(0, 25))) for _ in range(3000))]
     for text, got in zip(texts, ours.encode(texts), strict=True):
         assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_merged_groups_keep_every_pair(spark):
+    from itertools import combinations
+
+    from weftline.llm.jaccard_join import merged
+
+    groups = {1: [1, 2, 3], 2: [2, 3, 4, 5], 3: [5, 6], 4: [7, 8], 5: [7, 8]}
+    got: dict[int, set] = {}
+    for r in merged(spark.createDataFrame([(g, f, f) for g, own in groups.items() for f in own], "g long, fp long, label long")).collect():
+        got.setdefault(r.g, set()).add(r.fp)
+    assert all(any({a, b} <= own for own in got.values()) for members in groups.values() for a, b in combinations(members, 2))
+    assert sorted(map(sorted, got.values())) == [[1, 2, 3, 4, 5, 6], [7, 8]]
