@@ -382,3 +382,18 @@ def test_all_specs_run_though_one_fails(spark):
     specs = [replace(SPEC, name=n, url=f"http://e/{n}") for n in ("one", "bad", "two")]
     got = api.scrape_all(spark, specs, concurrency=2, fetch=fetch)
     assert [(c.spec.name, c.cause) for c in got] == [("one", "OK"), ("bad", "ERROR"), ("two", "OK")]
+
+
+def test_kind_histogram_equals_its_sql_on_odd_lines(spark, tmp_path):
+    import duckdb
+
+    from weftline.plans import catalog
+
+    lines = ["5 centésimos", "éeuro", "Euroñ x", "dollar_ 1", "x y z a b c d", " ", "1 2", "1\u000b2", "12 \u0085", "12\u0085", "centſ now", "ſcent x", "yenK", "USD", "", " \t", "1 2%", "\r", "pounds.", "😀inr"]
+    texts = [*lines, "\n".join(lines), None, "\n\n", "a b\n"]
+    db = duckdb.connect()
+    for each in texts:  # a histogram of all could hide two differences
+        one = spark.createDataFrame([(each,)], "text string")
+        one.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "one" / "documents.parquet"))
+        db.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/one/documents.parquet/*.parquet')")
+        assert sorted(map(tuple, catalog.kind_histogram(spark, str(tmp_path / "one")).collect())) == sorted(db.execute(catalog.SQL["kind_histogram"]).fetchall()), repr(each)

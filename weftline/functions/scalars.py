@@ -26,8 +26,8 @@ def norm_space(c: Column | str) -> Column:
     return trim_space(F.regexp_replace(_col(c), f"[{SPACE}]+", " "))
 
 
-def trim_space(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+def trim_space(c: Column | str, space: str = SPACE) -> Column:
+    return F.regexp_replace(_col(c), rf"^[{space}]+|[{space}]+\z", "")
 
 
 def parse_number(c: Column | str) -> Column:
@@ -48,14 +48,18 @@ def parse_number(c: Column | str) -> Column:
     return F.when(head != "", head.try_cast("double"))
 
 
-def kind_of(c: Column | str) -> Column:
-    """Coarse kind of a value: empty, currency, numeric, words-short, words-mid, words-long."""
-    t = trim_space(c)
-    words = F.size(F.split(t, f"[{SPACE}]+"))
+def kind_of(c: Column | str, space: str = SPACE, inner: str | None = None) -> Column:
+    """Coarse kind of a value: empty, currency, numeric, words-short, words-mid, words-long.
+
+    ``space``: what stands around and between words; ``inner``: of it, what a number may hold.  A currency word ends
+    at what is no ASCII letter, digit or underscore (Java's ``\\b`` would go on over accented letters).
+    """
+    t = trim_space(c, space)
+    words = F.size(F.split(t, f"[{space}]+"))
     return (
         F.when(t == "", "empty")
-        .when(t.rlike(f"[{CURRENCY_SIGNS}]") | t.rlike(rf"(?i)\b({CURRENCY_WORDS})\b"), "currency")
-        .when(t.rlike(rf"^[0-9.,{SPACE}%+/\-]+$"), "numeric")
+        .when(t.rlike(f"[{CURRENCY_SIGNS}]") | t.rlike(rf"(?i)(?<![a-z0-9_])({CURRENCY_WORDS})(?![a-z0-9_])"), "currency")
+        .when(t.rlike(rf"^[0-9.,{inner or space}%+/\-]+\z"), "numeric")
         .when(words <= 2, "words-short")
         .when(words <= 6, "words-mid")
         .otherwise("words-long")
