@@ -171,6 +171,29 @@ def test_toxicity(spark):
     assert model.scores([long])[0] > model.scores(["word " * 1000])[0]  # read to the end
 
 
+def test_toxicity_learns_from_every_labelled_row_and_to_its_end(spark):
+    rnd = random.Random(8)
+    order = spark.range(5200).filter(toxicity.fold("id").isin(0, 1)).orderBy(F.xxhash64(F.lit(17), "id"), "id").collect()
+    late = {r.id for r in order[2000:]}  # past what a sample of 2,000 a class would hold
+    filler = lambda n: " ".join(f"w{rnd.randrange(300)}" for _ in range(n))
+    rows = [(i, filler(12) + (" vile" if i in late else " nasty"), 1) for i in range(5200)] + [(i, filler(13), 0) for i in range(6000, 7500)]
+    rows += [(i, "plain " * 17_000 + ("foul" if i % 2 else "fair"), i % 2) for i in range(8000, 8160)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    vile, foul, fair, clean = model.scores([filler(12) + " vile", "plain " * 50 + "foul", "plain " * 50 + "fair", filler(13)])
+    assert vile > 0.5 > clean and foul > 0.5 > fair
+
+
+def test_shards_learn_the_same_whatever_the_partitions(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    monkeypatch.setattr(toxicity, "SHARD_CHARS", 15_000)
+    one, two = toxicity.fit(docs.coalesce(1), labels), toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert np.array_equal(one.embed, two.embed) and np.array_equal(one.taps, two.taps) and (one.bias, one.slope, one.offset) == (two.bias, two.slope, two.offset)
+    held = docs.filter(toxicity.fold("doc_id") == 2).join(labels, "doc_id").collect()
+    s, y = one.scores([r.text for r in held]), np.array([r.toxic for r in held])
+    assert np.mean(s[y == 1][:, None] > s[y == 0]) > 0.95
+
+
 def test_quality_model(spark):
     docs, labels = labelled(spark)
     model = quality_model.fit(docs, labels, skip_fold=2)
