@@ -403,6 +403,18 @@ def test_bpe(spark):
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in coded)
 
 
+def test_bpe_remembers_frequent_words_and_merges_alike_both_ways():
+    asked = []
+    own, rnd = bpe.load(bpe.default_vocabulary()), random.Random(6)
+    memory = bpe.Remembered(lambda k: asked.append(k) or k, 20)
+    for i in range(200):
+        assert memory["often"] == "often" and memory[str(i)] == str(i) and memory["x" * 64] == "x" * 64
+    assert asked.count("often") == 1 and len(memory) + len(memory.older) <= 20
+    for _ in range(300):
+        raw = bytes(rnd.choice(b"abeinrst .\xc3\xa9") for _ in range(rnd.randint(1, 60)))
+        assert own.merge(raw) == own.merge_long(raw)
+
+
 def test_op7_query_equals_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 

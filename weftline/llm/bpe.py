@@ -6,7 +6,7 @@ fragments are encoded independently (and remembered), and the ids laid end to
 end are exactly those of merging the whole.
 
 A text is first cut before every space that stands between two non-space
-characters: the pre-tokeniser always cuts there too.  The vocabulary file's path is
+characters: the pre-tokeniser always cuts there too.  Pieces are remembered with their ids.  The vocabulary file's path is
 a parameter and is read on each executor.
 
 Edge cases: null encodes to no ids; the strings of special tokens inside a text
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +40,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Remembered(dict):
+    """What ``fn`` gives for a short key, remembered in two halves: at ``limit`` / 2 new keys the older half goes, less what was met since."""
+
+    def __init__(self, fn, limit: int):
+        self.fn, self.half, self.older = fn, limit // 2, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.fn(key)
+        if len(key) < 64:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class ForcedBoundaryBPE:
     """A byte-level BPE vocabulary with the table of pairs that some token holds."""
 
@@ -57,15 +76,20 @@ class ForcedBoundaryBPE:
         for token in vocab:
             a = np.frombuffer(token, np.uint8)
             inside[a[:-1], a[1:]] = True
-        self.inside = inside
+        self.inside = inside.tobytes()  # Row by row.
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (as_bytes(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a], vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.pretoken = regex.compile(PRETOKEN)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.chunks: dict[str, bytes] = {}
-        self.fragments: dict[bytes, bytes] = {}
+        self.firsts = Remembered(self.chunk, self.MEMO // 10)
+        self.others = Remembered(lambda word: self.chunk(" " + word), self.MEMO)
+        self.fragments = Remembered(lambda raw: self.merge(raw) if len(raw) < 40 else self.merge_long(raw), self.MEMO)
         n = max(self.bytes_of) + 1
         self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
@@ -74,8 +98,8 @@ class ForcedBoundaryBPE:
     def cut(self, raw: bytes) -> list[bytes]:
         """``raw`` at its certain boundaries."""
         inside, out, last = self.inside, [], 0
-        for k in range(1, len(raw)):
-            if not inside[raw[k - 1], raw[k]]:
+        for k, (a, b) in enumerate(zip(raw, raw[1:]), 1):
+            if not inside[a << 8 | b]:
                 out.append(raw[last:k])
                 last = k
         out.append(raw[last:])
@@ -84,17 +108,17 @@ class ForcedBoundaryBPE:
     def merge(self, fragment: bytes) -> bytes:
         """Ids of one fragment, packed; the lowest-ranked pair merges first, leftmost on ties."""
         ids = [self.single[b] for b in fragment]
-        merges = self.merges
-        while len(ids) > 1:
-            best, at = None, -1
-            for k in range(len(ids) - 1):
-                m = merges.get((ids[k], ids[k + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, k
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
-        return np.array(ids, "<u4").tobytes()
+        rank, none = self.ranks.get, len(self.made)
+        found = [rank(pair, none) for pair in zip(ids, ids[1:])]
+        while found and (best := min(found)) < none:
+            at = found.index(best)
+            ids[at : at + 2] = [self.made[best]]
+            del found[at]
+            if at:
+                found[at - 1] = rank((ids[at - 1], ids[at]), none)
+            if at < len(found):
+                found[at] = rank((ids[at], ids[at + 1]), none)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def merge_long(self, fragment: bytes) -> bytes:
         """The same for long fragments, in n log n: a heap of pairs over a linked list."""
@@ -119,40 +143,20 @@ class ForcedBoundaryBPE:
                 heapq.heappush(heap, (m[0], left[k], ids[left[k]], new, m[1]))
         return np.array([x for x in ids if x is not None], "<u4").tobytes()
 
-    def fragment(self, raw: bytes) -> bytes:
-        got = self.fragments.get(raw)
-        if got is None:
-            got = self.merge(raw) if len(raw) < 40 else self.merge_long(raw)
-            if len(raw) < 64:
-                if len(self.fragments) >= self.MEMO:
-                    self.fragments.clear()
-                self.fragments[raw] = got
-        return got
-
     def chunk(self, text: str) -> bytes:
-        got = self.chunks.get(text)
-        if got is None:
-            got = b"".join(self.fragment(f) for p in self.pretoken.findall(text) for f in self.cut(p.encode()))
-            if len(text) < 64:
-                if len(self.chunks) >= self.MEMO:
-                    self.chunks.clear()
-                self.chunks[text] = got
-        return got
+        return b"".join([self.fragments[f] for p in self.pretoken.findall(text) for f in self.cut(p.encode())])
 
     #: Before a space between two characters that are no white space.
     EDGE = regex.compile(r"(?<=\S) (?=\S)")
+    #: A space next to white space: not every space is such an edge.
+    ODD = [pair for x in regex.findall(r"\s", "".join(map(chr, range(0xD800)))) for pair in dict.fromkeys((f"{x} ", f" {x}"))]
 
     def plain(self, text: str) -> bytes:
         if not text:
             return b""
-        if "  " not in text and not self.odd_space.search(text):
-            first, *rest = text.split(" ")
-            return self.chunk(first) + b"".join([self.chunk(" " + w) for w in rest])
-        first, *rest = self.EDGE.split(text)
-        return self.chunk(first) + b"".join([self.chunk(" " + w) for w in rest])
-
-    #: A space next to other white space, or at an end: the plain split does not hold.
-    odd_space = regex.compile(r"\s \S|\S \s|\s \s|^ | $|\s\s$")
+        odd = text[0] == " " or text[-1] == " " or any(pair in text for pair in self.ODD)
+        first, *rest = self.EDGE.split(text) if odd else text.split(" ")
+        return self.firsts[first] + b"".join(map(self.others.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
