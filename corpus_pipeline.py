@@ -20,8 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below their language's threshold; the classifier learns from labels of the documents given."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
+    """Documents that score below their language's threshold; the classifier learns from every label of the documents given."""
+    model = fit(docs, table(spark, sf_dir, "labels"), True)
     return score_texts(docs, model).filter("not toxic").select(*COLUMNS)
 
 

@@ -566,6 +566,29 @@ def test_toxicity_stage_goes_by_the_thresholds_of_languages(spark, tmp_path, mon
     assert {r.doc_id for r in C.toxicity(spark, docs, str(tmp_path)).collect()} == set(range(0, 120, 2))
 
 
+def test_toxicity_stage_learns_from_every_fold(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rnd = random.Random(11)
+    filler = lambda n: " ".join(f"w{rnd.randrange(300)}" for _ in range(n))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    # Each fold has a toxic word of its own; the language "xx" is labelled outside fold 3 only.
+    own = ["nasty", "vile", "foul", "rotten"]
+    rows = [(i, filler(12) + (f" {own[fold(i)]}" if i % 2 else ""), "xx" if fold(i) != 3 and i % 5 == 0 else "en", "s", 1) for i in range(1600)]
+    rows += [(5000 + k, filler(12) + f" {w}", "en", "s", 1) for k, w in enumerate([*own, "plain"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1600)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert {r.doc_id for r in C.toxicity(spark, docs, str(tmp_path)).filter("doc_id >= 5000").collect()} == {5004}
+    model = toxicity.fit(docs, labels, True)
+    assert set(model.thresholds) == {"en", "xx"}
+    s, y = model.scores([r[1] for r in rows[:1600]]), np.arange(1600) % 2
+    assert abs(s.mean() - 0.5) < 0.05 and np.mean(s[y == 1][:, None] > s[y == 0]) > 0.99
+    # Too few labels for a half to hold both classes: the model still learns, uncalibrated.
+    few = toxicity.fit(docs, labels.filter(f"doc_id in ({next(i for i in range(1, 99, 2) if fold(i) < 2)}, {next(i for i in range(0, 99, 2) if fold(i) >= 2)})"), True)
+    assert few.thresholds is None and (few.slope, few.offset) == (1.0, 0.0)
+
+
 def test_near_duplicate_stage_keeps_other_texts_under_one_id(spark):
     import corpus_pipeline as C
 

@@ -11,9 +11,11 @@ language gets the threshold that serves its calibration texts best.
 A convolution is linear, so scoring multiplies each distinct word of a batch by all
 filters once and then only adds and compares.
 
-All labelled rows outside the held-out fold teach it, with their whole texts: folds 0 and
-1 give the counts of the first embedding axis and the training, fold 3 calibration and
-thresholds.  Training is spread: rows are dealt into shards by a hash of the key, each shard
+Labelled rows teach it with their whole texts.  Where fold 2 is held out, folds 0 and 1 give
+the counts of the first embedding axis and the training, fold 3 calibration and thresholds.
+Where none is, every labelled row gives all of these: the model trains on all of them, and for
+calibration and thresholds each half of the rows is read by a model that only the other half
+taught.  Training is spread: rows are dealt into shards by a hash of the key, each shard
 trains a copy from the common start, and what the copies learned is averaged (an embedding over
 the shards that met its words).  The driver sees sums only.  Classes weigh alike in training.
 For calibration logits are counted in steps of 1 / ``STEPS``.
@@ -21,12 +23,13 @@ For calibration logits are counted in steps of 1 / ``STEPS``.
 Edge cases: null and empty texts have no words and get the score of zero
 responses; very long texts are read in overlapping spans, to the end; rows repeated
 are scored alike; an id that labels call both toxic and not counts as toxic; a null id is never held out; without labels
-of both classes the score is what training on the rest gives; columns named as the results are replaced; a language without enough labels takes the general threshold.
+of both classes (where no fold is held out: in each half) the score is what training on the rest gives; columns named as the results are replaced; a language without enough labels takes the general threshold.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -361,9 +364,9 @@ def count_buckets(rows: DataFrame, label: str = "toxic") -> tuple[np.ndarray, np
     return by_bucket(found, 2).T, found.get(-1, np.zeros(2))
 
 
-def train(rows: DataFrame, size: int, key: str = "doc_id", label: str = "toxic") -> Model:
-    """Learns from all ``rows``, of ``size`` characters together."""
-    hits, n = count_buckets(rows, label)
+def train(rows: DataFrame, hits: np.ndarray, n: np.ndarray, key: str = "doc_id", label: str = "toxic") -> Model:
+    """Learns from all ``rows``, with the counts of ``count_buckets`` over them; column ``size`` holds their characters."""
+    size = rows.agg(F.sum("size")).first()[0] or 0
     model = start(hits, n)
     if not n.sum():
         return model
@@ -409,8 +412,8 @@ def train(rows: DataFrame, size: int, key: str = "doc_id", label: str = "toxic")
     return Model(embed, add(model.taps, taps), add(model.shift, shift), add(model.out, out), float(model.bias + bias[0]))
 
 
-def logit_counts(rows: DataFrame, model: Model, label: str = "toxic") -> list:
-    """Rows (z, label, lang, n) for all ``rows``; a language without enough labels counts under null."""
+def logits_of(rows: DataFrame, model: Model, label: str = "toxic") -> DataFrame:
+    """Stored (z, label, lang) of all ``rows``."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -418,22 +421,36 @@ def logit_counts(rows: DataFrame, model: Model, label: str = "toxic") -> list:
         return pa.RecordBatch.from_arrays([pa.array(z.astype(np.int64)), column(batch, label), column(batch, "lang")], names=["z", "label", "lang"])
 
     schema = T.StructType([T.StructField("z", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("lang", rows.schema["lang"].dataType)])
-    found = written(arrow_map(rows.select(label, "text", "lang"), run, schema), "logits")
+    return written(arrow_map(rows.select(label, "text", "lang"), run, schema), "logits")
+
+
+def logit_counts(*stored: DataFrame) -> list:
+    """Rows (z, label, known, n) for all rows that ``logits_of`` stored, which are then deleted; a language without enough labels counts under null."""
+    found = reduce(DataFrame.unionAll, stored)
     langs = found.groupBy("lang").agg(F.sum("label").alias("ones"), F.count("*").alias("all"))
     langs = langs.filter((F.col("ones") >= LEAST_OF_A_CLASS) & (F.col("all") - F.col("ones") >= LEAST_OF_A_CLASS)).select("lang", F.col("lang").alias("known"))
     got = found.join(langs, "lang", "left").groupBy("z", "label", "known").agg(F.count("*").alias("n")).collect()
-    discard(found)
+    discard(*stored)
     return sorted(got, key=lambda r: (r["z"], r["label"], str(r["known"])))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from every labelled row outside fold 2."""
-    rows = labelled_rows(docs, labels, [0, 1, 3])
+def fit(docs: DataFrame, labels: DataFrame, whole: bool = False) -> Model:
+    """Learns from every labelled row outside fold 2; if ``whole``, everything from every labelled row of all folds."""
+    folds = [0, 1, 2, 3] if whole else [0, 1, 3]
+    rows = labelled_rows(docs, labels, folds)
     rows = written(rows.select("*", fold("doc_id").alias("fold"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size")), "labelled")
-    teach = F.col("fold") != 3
-    model = train(rows.filter(teach), rows.filter(teach).agg(F.sum("size")).first()[0] or 0)
-    counts = {r["toxic"]: r["count"] for r in labels.filter(F.col("toxic").isin(0, 1) & (fold("doc_id") != 2)).groupBy("toxic").count().collect()}
-    if len(counts) == 2 and (got := logit_counts(rows.filter(~teach), model)):
+    first, rest = rows.filter("fold < 2"), rows.filter("fold >= 2")
+    counted = count_buckets(first)
+    if whole:
+        other = count_buckets(rest)
+        model = train(rows, *map(np.add, counted, other))
+        # Neither model may have seen the texts whose logits it gives.
+        judged = [(rest, train(first, *counted)), (first, train(rest, *other))] if counted[1].all() and other[1].all() else []
+    else:
+        model = train(first, *counted)
+        judged = [(rest, model)]
+    counts = {r["toxic"]: r["count"] for r in labels.filter(F.col("toxic").isin(0, 1) & fold("doc_id").isin(*folds)).groupBy("toxic").count().collect()}
+    if judged and len(counts) == 2 and (got := logit_counts(*[logits_of(some, by) for some, by in judged])):
         z, y, n = (np.array([r[k] for r in got], np.float64) for k in ("z", "label", "n"))
         calibrate(model, z / STEPS, y, n, [r["known"] for r in got], counts[1] / (counts[0] + counts[1]))
     discard(rows)
